@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sumizh.llm.bpe import decode_documents, encode_documents
 from sumizh.llm.topn import top_n
 from sumizh.sources.tables import table
 
@@ -48,9 +49,23 @@ SELECT 'known_curation_candidates' AS tab, cand_id AS item_id, CAST(rn AS INTEGE
 """
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document; empty and null texts give an empty list."""
+    return encode_documents(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document, whether its ids decode to the text as stored (null as empty)."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    decoded = decode_documents(encode_documents(documents, "doc_id", "text"), "doc_id", "ids")
+    return documents.join(decoded.withColumnRenamed("text", "decoded"), "doc_id").select(
+        "doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("restored")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    return {"p4_found": p4_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL}
+    return {"p4_found": P4_SQL, "p6_roundtrip": "SELECT doc_id, TRUE AS restored FROM documents"}
