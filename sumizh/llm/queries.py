@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumizh.llm.bpe import decode_documents, encode_documents
+from sumizh.llm.lookalikes import canonical_text, lookalike_kind, same_reading
 from sumizh.llm.topn import top_n
 from sumizh.sources.tables import table
 
@@ -15,6 +16,23 @@ from sumizh.sources.tables import table
 EDGES_N, CANDIDATES_N = 5, 2
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the two tables whose names read the same and are stored differently."""
+    full, growth = table(spark, folder, "hromadas_full30"), table(spark, folder, "corpus_growth_priority")
+    return same_reading(full, "id", "name", growth, "growth_id", "name").select(
+        F.col("a_id").alias("full_id"), F.col("b_id").alias("growth_id")
+    )
+
+
+def p1_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Every name of the two tables in its consistent form, with the kind of look-alike met."""
+    full = table(spark, folder, "hromadas_full30").select(F.lit("hromadas_full30").alias("tab"), F.col("id").alias("item_id"), "name")
+    growth = table(spark, folder, "corpus_growth_priority").select(
+        F.lit("corpus_growth_priority").alias("tab"), F.col("growth_id").alias("item_id"), "name"
+    )
+    return full.unionAll(growth).withColumns({"canonical": canonical_text("name"), "kind": lookalike_kind("name")}).drop("name")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The best edges of each name and the best candidates of each code, with places."""
     edges = top_n(
@@ -64,7 +82,7 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
+    return {"p1_found": p1_found, "p1_names": p1_names, "p4_found": p4_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
 
 
 def oracle_sql() -> dict[str, str]:
