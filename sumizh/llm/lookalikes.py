@@ -202,6 +202,15 @@ def canonical_text(texts: pd.Series) -> pd.Series:
     return texts.map(canonical, na_action="ignore")
 
 
+#: As if not deterministic, so that a join's test for null isn't moved below distinct(), to a second call for every row.
+@F.pandas_udf(T.StringType())
+def _canonical_once(texts: pd.Series) -> pd.Series:
+    return texts.map(canonical, na_action="ignore")
+
+
+_canonical_once = _canonical_once.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def lookalike_kind(texts: pd.Series) -> pd.Series:
     return texts.map(kinds, na_action="ignore")
@@ -221,7 +230,8 @@ def same_reading(left: DataFrame, left_id: str, left_text: str, right: DataFrame
 
     def forms(df: DataFrame, text: str) -> DataFrame:
         stored: Column = F.col(text)
-        return with_canonical(df.where(stored.isNotNull()).select(stored.alias("stored")).distinct(), "stored")
+        texts = df.where(stored.isNotNull()).select(stored.alias("stored")).distinct()
+        return texts.withColumn("canonical", _canonical_once(F.col("stored")))
 
     a = forms(left, left_text).select(F.col("stored").alias("a_text"), "canonical")
     b = forms(right, right_text).select(F.col("stored").alias("b_text"), "canonical")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumizh.llm.bpe import decode_documents, encode_documents
+from sumizh.llm.canon import map_values
 from sumizh.llm.lookalikes import canonical_text, lookalike_kind, same_reading
 from sumizh.llm.topn import top_n
 from sumizh.sources.tables import table
@@ -67,6 +68,24 @@ SELECT 'known_curation_candidates' AS tab, cand_id AS item_id, CAST(rn AS INTEGE
 """
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every typed theme, form and title with its entry of the reference list."""
+    candidates = table(spark, folder, "known_curation_candidates")
+    themes = candidates.select("cand_id", F.lit("primary_theme").alias("field"), F.lit(0).alias("pos"), F.col("primary_theme").alias("text"))
+    agreements = candidates.select("cand_id", F.posexplode("agreements").alias("at", "agreement")).select(
+        "cand_id",
+        (F.col("at") + 1).alias("pos"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("form").alias("field"), F.col("agreement.form").alias("text")),
+                F.struct(F.lit("title").alias("field"), F.col("agreement.title").alias("text")),
+            )
+        ).alias("typed"),
+    )
+    values = themes.unionAll(agreements.select("cand_id", "typed.field", "pos", "typed.text"))
+    return map_values(values, table(spark, folder, "canon_entries")).select("cand_id", "field", "pos", "ref_id")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document; empty and null texts give an empty list."""
     return encode_documents(table(spark, folder, "documents"), "doc_id", "text")
@@ -82,7 +101,7 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_names": p1_names, "p4_found": p4_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
+    return {"p1_found": p1_found, "p1_names": p1_names, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
 
 
 def oracle_sql() -> dict[str, str]:
