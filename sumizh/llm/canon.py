@@ -141,7 +141,7 @@ class Entries:
                     alias_words.append(list(dict.fromkeys(ids)))
         self.vocabulary = list(vocabulary)
         n, m = len(entries), len(vocabulary)
-        self.of_alias = np.array([at for at, _ in self.aliases])
+        self.of_alias = np.array([at for at, _ in self.aliases], dtype=int)
         self.has = np.zeros((len(self.aliases), m), dtype=bool)
         for i, ids in enumerate(alias_words):
             self.has[i, ids] = True
@@ -159,7 +159,8 @@ class Entries:
         self.automaton = ahocorasick.Automaton()
         for p in self.parts:
             self.automaton.add_word(p, p)
-        self.automaton.make_automaton()
+        if self.parts:
+            self.automaton.make_automaton()
 
     @staticmethod
     def _stock(labels: list[str]) -> list[str]:
@@ -201,6 +202,8 @@ class Entries:
 
     def mentions(self, text: str) -> list[str]:
         """Patterns in the text; the longest of those that overlap, then the first."""
+        if not self.parts:
+            return []
         found = sorted((-len(p), end, p) for end, p in self.automaton.iter(text))
         taken: list[tuple[int, int]] = []
         out = []
