@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sumizh.llm.bpe import decode_documents, encode_documents
 from sumizh.llm.canon import map_values
+from sumizh.llm.garbled import find_garbled
 from sumizh.llm.lookalikes import canonical_text, lookalike_kind, same_reading
 from sumizh.llm.topn import top_n
 from sumizh.sources.tables import table
@@ -55,6 +56,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with characters that come from decoding with a wrong encoding."""
+    return find_garbled(table(spark, folder, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The affected documents with their text as far as it can be restored."""
+    return find_garbled(table(spark, folder, "documents"))
+
+
 P4_SQL = f"""
 SELECT 'matching_edges13' AS tab, edge_id AS item_id, CAST(rn AS INTEGER) AS place FROM (
   SELECT edge_id, row_number() OVER (PARTITION BY a ORDER BY goals_cosine DESC, b, edge_id) AS rn
@@ -101,7 +112,7 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_names": p1_names, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
+    return {"p1_found": p1_found, "p1_names": p1_names, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
