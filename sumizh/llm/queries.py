@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sumizh.llm.bpe import decode_documents, encode_documents
 from sumizh.llm.canon import map_values
+from sumizh.llm.entities import match_entities
 from sumizh.llm.garbled import find_garbled
 from sumizh.llm.lookalikes import canonical_text, lookalike_kind, same_reading
 from sumizh.llm.topn import top_n
@@ -35,6 +36,22 @@ def p1_names(spark: SparkSession, folder: str) -> DataFrame:
     return full.unionAll(growth).withColumns({"canonical": canonical_text("name"), "kind": lookalike_kind("name")}).drop("name")
 
 
+def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of hromada_portals and gisrr_cards that describe one municipality, with a confidence."""
+    portals = table(spark, folder, "hromada_portals").select(
+        F.col("portal_id").alias("id"), F.col("name").alias("title"), F.col("oblast").alias("region"), F.lit(None).cast("string").alias("district"),
+        F.col("population").alias("size"), F.col("portalurl").alias("url"), F.col("katottg").alias("code"),
+    )
+    cards = table(spark, folder, "gisrr_cards").select(
+        F.col("card_id").alias("id"), "title", "region", "district", F.col("residents").alias("size"), F.col("site").alias("url"), F.lit(None).cast("string").alias("code")
+    )
+    return match_entities(portals, cards).select(F.col("left_id").alias("portal_id"), F.col("right_id").alias("card_id"), F.round("conf", 4).alias("conf"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_pairs(spark, folder).select("portal_id", "card_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The best edges of each name and the best candidates of each code, with places."""
     edges = top_n(
@@ -112,7 +129,7 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_names": p1_names, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p1_names": p1_names, "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
