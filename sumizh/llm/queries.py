@@ -12,6 +12,7 @@ from sumizh.llm.canon import map_values
 from sumizh.llm.entities import match_entities
 from sumizh.llm.garbled import find_garbled
 from sumizh.llm.lookalikes import canonical_text, lookalike_kind, same_reading
+from sumizh.llm.mix import mix, shares
 from sumizh.llm.topn import top_n
 from sumizh.sources.tables import table
 
@@ -73,6 +74,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts chosen so that each source of mix_targets has its share, with their repeats."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of the tokens that each source of mix_targets really reached."""
+    return shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with characters that come from decoding with a wrong encoding."""
     return find_garbled(table(spark, folder, "documents")).select("doc_id")
@@ -129,7 +140,7 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_names": p1_names, "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p1_names": p1_names, "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
