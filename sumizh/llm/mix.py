@@ -8,7 +8,9 @@
    max_repeats.  Within a source texts are put in order of size; the expected copies are
    summed up along that order, one random offset per source is added, and a text comes
    out once for each whole number that its stretch of the sum crosses.  As sizes are in
-   order, the tokens taken stay within about one longest text of what is wanted.
+   order, the tokens taken stay within about one longest text of what is wanted.  Where
+   few texts are very long that is still much, so the offset is the best of ``DRAWS``
+   random ones, all tried in one pass.
 
 The sum along a source is a rank times a number, and ranks come from the counts of
 range partitions, so that a source with a third of all rows is no larger a task.
@@ -21,7 +23,7 @@ nothing is chosen; the same seed gives the same choice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,6 +33,8 @@ from sumizh.session import cut, width
 #: Listed sources at most; their sizes are sent to every worker.
 MOST_SOURCES = 10_000
 SEED = 20
+#: Random offsets drawn for each source; the one that comes nearest to the wanted tokens is kept.
+DRAWS = 32
 
 
 def _checked(targets: DataFrame) -> DataFrame:
@@ -49,7 +53,7 @@ def usable_texts(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKE
 
 
 def plan(texts: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per listed source: texts, tokens, expected copies of each text and the random offset."""
+    """One row per listed source: texts, tokens, and the expected copies of each text."""
     sizes = texts.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("tokens").alias("tokens"))
     joined = _checked(targets).join(sizes, "source", "left").fillna(0, ["texts", "tokens"])
     reach = F.when(F.col("tokens") > 0, F.col("max_repeats") * F.col("tokens") / F.col("target_share"))
@@ -63,7 +67,6 @@ def plan(texts: DataFrame, targets: DataFrame) -> DataFrame:
         "tokens",
         "total",
         F.when(F.col("tokens") > 0, copies).otherwise(F.lit(0.0)).alias("expected"),
-        ((F.pmod(F.xxhash64("source", F.lit(SEED)), F.lit(1_000_003)) + 0.5) / 1_000_003).alias("offset"),
     )
 
 
@@ -81,13 +84,24 @@ def _in_order(texts: DataFrame) -> DataFrame:
     return ordered.join(offsets, ["part", "source"]).withColumn("rank", F.col("before") + F.col("at") - F.col("first"))
 
 
+def _offset(draw: int) -> Column:
+    """A random number between 0 and 1 for each source."""
+    return (F.pmod(F.xxhash64("source", F.lit(SEED), F.lit(draw)), F.lit(1_000_003)) + 0.5) / 1_000_003
+
+
+def _copies(offset: Column) -> Column:
+    """Whole numbers that the text's stretch of the sum crosses."""
+    upto = F.floor(offset + F.col("expected") * (F.col("rank") + 1))
+    return F.least((upto - F.floor(offset + F.col("expected") * F.col("rank"))).cast("int"), F.col("max_repeats").cast("int"))
+
+
 def choose(texts: DataFrame, planned: DataFrame) -> DataFrame:
     """(doc_id, source, tokens, copies) of the texts that are used at least once."""
-    ranked = _in_order(texts).join(F.broadcast(planned.select("source", "expected", "offset", "max_repeats")), "source")
-    upto = F.floor(F.col("offset") + F.col("expected") * (F.col("rank") + 1))
-    before = F.floor(F.col("offset") + F.col("expected") * F.col("rank"))
-    copies = F.least((upto - before).cast("int"), F.col("max_repeats").cast("int"))
-    return ranked.withColumn("copies", copies).where("copies > 0").select("doc_id", "source", "tokens", "copies")
+    ranked = _in_order(texts).join(F.broadcast(planned.select("source", "expected", "max_repeats")), "source")
+    sums = ranked.groupBy("source").agg(*(F.sum(F.col("tokens") * _copies(_offset(d))).alias(f"d{d}") for d in range(DRAWS)))
+    off = F.array(*(F.struct(F.abs(F.col(f"d{d}") - F.col("expected") * F.col("tokens")).alias("off"), F.lit(d).alias("draw"), _offset(d).alias("offset")) for d in range(DRAWS)))
+    best = planned.join(sums, "source").select("source", F.array_min(off)["offset"].alias("offset"))
+    return ranked.join(F.broadcast(best), "source").withColumn("copies", _copies(F.col("offset"))).where("copies > 0").select("doc_id", "source", "tokens", "copies")
 
 
 def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
