@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sumizh.session import width
 
@@ -252,15 +253,18 @@ def top_n(df: DataFrame, group: str, order: Sequence[tuple[str, bool]], payload:
     if isinstance(df.schema[order[0][0]].dataType, (T.DoubleType, T.FloatType)):
         kept = kept.where(~F.isnan(lead))
     buckets = width(df.sparkSession)
-    names = list(dict.fromkeys([*(c for c, _ in order), *payload]))
+    # own names, so that no column of the table can clash with another
     rows = kept.select(
         F.pmod(F.xxhash64(F.col(group)), F.lit(buckets)).cast("int").alias("bucket"),
         F.col(group).cast("string").alias("grp"),
-        *(F.col(c) for c in names),
+        *(F.col(c).alias(f"o{i}") for i, (c, _) in enumerate(order)),
+        *(F.col(c).alias(f"v{i}") for i, c in enumerate(payload)),
     )
-    sort = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in order]
-    runs = rows.sortWithinPartitions("bucket", "grp", *sort).mapInArrow(_form_runs(order, payload, n), "bucket int, block binary")
-    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in payload), T.StructField("place", T.IntegerType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return runs.repartition(buckets, "bucket").mapInArrow(_merge(payload, n, to_arrow_schema(schema)), schema)
+    named = [(f"o{i}", descending) for i, (_, descending) in enumerate(order)]
+    values = [f"v{i}" for i in range(len(payload))]
+    sort = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in named]
+    runs = rows.sortWithinPartitions("bucket", "grp", *sort).mapInArrow(_form_runs(named, values, n), "bucket int, block binary")
+    types = [df.schema[c].dataType for c in payload]
+    inner = T.StructType([*(T.StructField(v, t) for v, t in zip(values, types)), T.StructField("place", T.IntegerType())])
+    merged = runs.repartition(buckets, "bucket").mapInArrow(_merge(values, n, to_arrow_schema(inner)), inner)
+    return merged.select(*(F.col(v).alias(c) for v, c in zip(values, payload)), "place")
