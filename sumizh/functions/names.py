@@ -55,7 +55,7 @@ def resolve(names: DataFrame, places: DataFrame) -> DataFrame:
         ("stem_region", once([F.col("stem"), F.col("at").alias("region")], "p2"), ["stem", "region"]),
         ("stem", once([F.col("stem")], "p3"), ["stem"]),
     ]
-    joined = keyed.withColumn("stem", F.element_at(stems(F.col("name")), -1))
+    joined = keyed.withColumn("stem", F.try_element_at(stems(F.col("name")), F.lit(-1)))
     for _, side, on in steps:
         joined = joined.join(side, on, "left")
     how = reduce(lambda c, i: c.when(F.col(f"p{i}").isNotNull(), steps[i][0]), range(1, 4), F.when(F.col("p0").isNotNull(), steps[0][0])).otherwise("none")

@@ -88,14 +88,15 @@ def form_rules(spark: SparkSession, folder: str) -> DataFrame:
     "form_prior",
     f"""WITH f AS (SELECT track, {_FORM_SQL} AS form, cand_id FROM (SELECT cand_id, track, a.title AS title FROM (SELECT cand_id, track, unnest(agreements) AS a FROM known_curation_candidates)) WHERE title IS NOT NULL),
     c AS (SELECT track, form, count(*) AS n, min(cand_id) AS seen FROM f GROUP BY track, form)
-    SELECT track, form, CAST(n AS BIGINT) AS n FROM c QUALIFY row_number() OVER (PARTITION BY track ORDER BY n DESC, seen) = 1""",
+    SELECT track, form, CAST(n AS BIGINT) AS n FROM c QUALIFY row_number() OVER (PARTITION BY track ORDER BY n DESC, seen, form) = 1""",
 )
 def form_prior(spark: SparkSession, folder: str) -> DataFrame:
-    """The commonest form of each track; of equal ones that seen first."""
+    """The commonest form of each track; of equal ones that seen first, then the first by name."""
     titles = table(spark, folder, "known_curation_candidates").select("cand_id", "track", F.explode("agreements").alias("a")).select("cand_id", "track", F.col("a.title").alias("title")).where("title IS NOT NULL")
     form = reduce(lambda c, r: c.when(F.lower("title").rlike(r[1]), r[0]), FORMS[1:], F.when(F.lower("title").rlike(FORMS[0][1]), FORMS[0][0])).otherwise("other")
-    counted = titles.groupBy("track", form.alias("form")).agg(F.count(F.lit(1)).alias("n"), F.min("cand_id").alias("seen")).withColumn("minus", -F.col("seen"))
-    return first_of(counted, ["track"], [("n", True), ("minus", True)], ["form", "n"])
+    counted = titles.groupBy("track", form.alias("form")).agg(F.count(F.lit(1)).alias("n"), F.min("cand_id").alias("seen"))
+    place = F.row_number().over(Window.partitionBy("track").orderBy(F.desc("n"), "seen", "form"))  # a few rows by track
+    return counted.withColumn("place", place).where("place = 1").select("track", "form", "n")
 
 
 _INTENT, _NEGATED = "спільн|разом|сусід", "відкладати не можна|не можуть"
