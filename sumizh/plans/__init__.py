@@ -1,6 +1,6 @@
 """Named queries over a data folder, and their SQL."""
 
-from sumizh.plans import core_problems, documents, entities, pairs, panels, vectors  # noqa: F401
+from sumizh.plans import core_problems, documents, entities, pairs, panels, records, vectors  # noqa: F401
 from sumizh.plans.registry import registry
 
 __all__ = ["registry"]
