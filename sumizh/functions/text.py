@@ -1,9 +1,13 @@
-"""Text expressions: lines of goals, names, hosts.  All stay on the JVM side."""
+"""Text expressions: lines of goals, names, hosts.  All but the last two stay on the JVM side."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What is stripped from the ends of a line.
 LINE_ENDS = " \t-•\r\n"
@@ -90,3 +94,44 @@ def word_stems(text: Column, least: int = 4, keep: int = 6) -> Column:
 def programmes(text: Column) -> Column:
     """The plain reading of a list of programmes: parted by commas and semicolons."""
     return F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+#: Length from which a line is taken apart, and what a part must exceed.
+LONG, PART = 120, 20
+_MARKER = re.compile(r"(?<=\S)\s+(?=(?:Стратегічна ціль|Операційна ціль|Ціль|Завдання)\s*\d|\d{1,2}(?:\.\d{1,2})+\.?\s)")
+_CLAUSE = re.compile(r"[;•]\s*|(?<=[^\d\s])\.\s+")
+
+
+def expand_line(line: str) -> list[str]:
+    """A long line split at goal markers, its parts again; else into clauses, if at least two are of use."""
+    if len(line) <= LONG:
+        return [line]
+    parts = [p.strip() for p in _MARKER.split(line) if p.strip()]
+    if len(parts) > 1:
+        return [x for p in parts for x in expand_line(p)]
+    clauses = [c.strip() for c in _CLAUSE.split(line) if len(c.strip()) > PART]
+    return clauses if len(clauses) >= 2 else [line]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def expanded_lines(lines: pd.Series) -> pd.Series:
+    """Lines of a text with the long ones taken apart, which is recursive and so needs Python."""
+    return lines.map(lambda x: None if x is None else [part for line in x for part in expand_line(line)])
+
+
+@F.udtf(returnType=T.StructType([T.StructField("at", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("cue", T.StringType())]))
+class Mentions:
+    """(at, name, cue): names in a text that have a cue within so many characters; positions decide, so it is a table function."""
+
+    def eval(self, text: str, names: list, cues: list, window: int):
+        if not text:
+            return
+        low = text.lower()
+        for name in names or []:
+            at = low.find(name.lower())
+            while at >= 0:
+                near = low[max(0, at - window) : at + len(name) + window]
+                cue = next((c for c in cues if c.lower() in near), None)
+                if cue is not None:
+                    yield at + 1, name, cue
+                at = low.find(name.lower(), at + len(name))

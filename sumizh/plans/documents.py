@@ -12,6 +12,7 @@ from sumizh.functions import text as X
 from sumizh.operators.ranking import first_of
 from sumizh.plans.entities import LATEST_SQL, latest_entities
 from sumizh.plans.registry import registry
+from sumizh.session import cut
 from sumizh.sources.tables import table
 
 # Rules are data: (theme, pattern of stems, weight), each pattern counted once per text.
@@ -141,7 +142,8 @@ _TFIDF_SQL = f"""t AS (SELECT id, unnest({_TOKENS_SQL}) AS w FROM hromadas_full3
 
 def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, w, x): unit vectors of words of two letters or more, tf * (ln((1 + n) / (1 + df)) + 1)."""
-    counted = rows.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf"))
+    # read three times from here on, so it is written once
+    counted = cut(rows.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf")))
     n = counted.agg(F.count_distinct(key).alias("n"))
     idf = counted.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
     raw = counted.join(idf, "w").select(key, "w", (F.col("tf") * F.col("idf")).alias("x"))
@@ -158,7 +160,7 @@ def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:
 def tfidf_cosine(spark: SparkSession, folder: str) -> DataFrame:
     """The five goals texts most like each query by TF-IDF; queries are ids divisible by 100, against all."""
     rows = table(spark, folder, "hromadas_full30").where(F.trim("goals") != "")
-    vectors = tfidf(rows, "id", "goals")
+    vectors = cut(tfidf(rows, "id", "goals"))
     queries = vectors.where("id % 100 = 0").select(F.col("id").alias("query"), "w", F.col("x").alias("qx"))
     sums = queries.join(vectors, "w").where("query <> id").groupBy("query", "id").agg(F.round(F.sum(F.col("qx") * F.col("x")), 6).alias("similarity"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
@@ -209,3 +211,35 @@ def agreements_by_theme(spark: SparkSession, folder: str) -> DataFrame:
         F.count_distinct(F.coalesce("g.n", "g.title")).alias("agreements"), F.count(F.lit(1)).alias("mentions"), F.min(F.substring("g.date", 1, 4)).alias("first_year")
     )
 
+
+
+@registry.add("expanded_lines")
+def expanded_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of documents, long ones split at goal markers or into clauses."""
+    rows = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", X.expanded_lines(X.goal_lines(F.col("text"))).alias("lines"))
+    return rows.select("doc_id", F.posexplode("lines").alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("pos"), "line")
+
+
+@registry.add("partner_mentions")
+def partner_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Known programmes that documents name, with a word for funding within forty characters."""
+    names = [r.program for r in table(spark, folder, "donor_programs").select("program").orderBy("program").limit(1000).collect()]  # a small fixed list
+    listed = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
+    cues = F.array(*(F.lit(c) for c in ("кошти", "завдяки", "програм", "project", "wymian")))
+    rows = table(spark, folder, "documents").select("doc_id", "text")
+    return rows.lateralJoin(X.Mentions(F.col("text").outer(), listed, cues, F.lit(40))).select("doc_id", "at", "name", "cue")
+
+
+@registry.add(
+    "nested_agreements",
+    """SELECT cand_id, CAST(len(agreements) AS INTEGER) AS n, list_transform(list_filter(agreements, lambda g: g.date IS NOT NULL)[1:25], lambda g, i: i::VARCHAR || '. ' || coalesce(g.title, '?')) AS dated,
+    CAST(len(list_filter(agreements, lambda g: g IS NOT NULL AND g.date IS NULL)) AS INTEGER) AS undated, list_min(list_transform(list_filter(agreements, lambda g: g.date IS NOT NULL), lambda g: g.date)) AS first_date
+    FROM known_curation_candidates WHERE agreements IS NOT NULL""",
+)
+def nested_agreements(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested lists split by a field, numbered anew and cut to what is shown, without leaving the row."""
+    dated = F.filter("agreements", lambda g: g["date"].isNotNull())
+    undated = F.filter("agreements", lambda g: g.isNotNull() & g["date"].isNull())
+    rows = table(spark, folder, "known_curation_candidates").where("agreements IS NOT NULL").select("cand_id", F.size("agreements").alias("n"), dated.alias("d"), undated.alias("u"))
+    numbered = F.transform(F.slice("d", 1, 25), lambda g, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(g["title"], F.lit("?"))))
+    return rows.select("cand_id", "n", numbered.alias("dated"), F.size("u").alias("undated"), F.array_min(F.transform("d", lambda g: g["date"])).alias("first_date"))

@@ -27,7 +27,7 @@ def latest_entities(spark: SparkSession, folder: str, *fields: str) -> DataFrame
 )
 def entity_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of usable quality that have goals; both conditions reach the scan."""
-    rows = table(spark, folder, "hromadas").where(F.col("sourcequality").isin(*QUALITIES) & (F.trim("goals") != ""))
+    rows = table(spark, folder, "hromadas").where(F.col("sourcequality").isin(*QUALITIES) & F.col("goals").isNotNull() & (F.trim("goals") != ""))
     return rows.select("row_id", "katottg", "name", "oblast", "sourcequality", F.length("goals").alias("goals_length"))
 
 
