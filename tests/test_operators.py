@@ -168,3 +168,21 @@ def test_names(spark):
     assert {(r.id, r.place, r.how) for r in resolve(names, places).collect()} == {(1, "p1", "name_region"), (2, None, "none"), (3, "p2", "stem_region"), (4, None, "none"), (5, None, "none")}
     ratio = spark.createDataFrame([("abcd", "abce"), (None, "x")], "a string, b string").select(sequence_ratio("a", "b").alias("r")).collect()
     assert ratio[0].r == 0.75 and ratio[1].r is None
+
+
+def test_long_lines(spark):
+    line = "Стратегічна ціль 1: " + "розвиток сільських клубів і бібліотек, " * 3 + " Ціль 2: ремонт дахів у школах громади 2.1. Утеплення стін у ліцеї"
+    parts = X.expand_line(line)
+    assert len(parts) == 3 and parts[1].startswith("Ціль 2") and parts[2].startswith("2.1.")
+    assert X.expand_line("short; line") == ["short; line"]
+    assert X.expand_line("a" * 200) == ["a" * 200]
+    clauses = X.expand_line("перша довга частина рядка без цифр; " * 5)
+    assert len(clauses) == 5
+    df = spark.createDataFrame([(1, [line, "x"]), (2, None), (3, [])], "id int, l array<string>")
+    assert {r.id: None if r.e is None else len(r.e) for r in df.select("id", X.expanded_lines("l").alias("e")).collect()} == {1: 4, 2: None, 3: 0}
+
+
+def test_mentions(spark):
+    df = spark.createDataFrame([(1, "Кошти програми «SOLARA»; потім SOLARA без слова" + " " * 60 + "SOLARA"), (2, None), (3, "")], "id int, t string")
+    found = df.lateralJoin(X.Mentions(F.col("t").outer(), F.array(F.lit("Solara")), F.array(F.lit("кошти")), F.lit(40))).select("id", "at", "cue").collect()
+    assert sorted(tuple(r) for r in found) == [(1, 17, "кошти"), (1, 32, "кошти")]
