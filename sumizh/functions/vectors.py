@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Vectors of a block; a product of two blocks fits easily in a worker.
 BLOCK = 1024
@@ -74,9 +75,7 @@ def search(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, l
                     found += [(own, r_ids[j], like[i, j]) for j in order]
                 yield pd.DataFrame(found, columns=["query", "id", "similarity"]).astype({"query": "int64", "id": "int64", "similarity": "float64"})
 
-    products = q.crossJoin(r).repartition(F.col("q_block"), F.col("r_block"))  # blocks, not rows
-    best = products.mapInPandas(multiply, "query bigint, id bigint, similarity double")
-    from pyspark.sql.window import Window
-
+    # of blocks, not rows; multiplied where they meet, since a pair of blocks is larger than its result
+    best = q.crossJoin(r).mapInPandas(multiply, "query bigint, id bigint, similarity double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
     return best.withColumn("place", place).where(F.col("place") <= k)
