@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the workers, once per application, so that it needn't be installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="sumizh-code-")) / "sumizh.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(here.rglob("*.py")):
+            z.write(file, file.relative_to(here.parent))
+    sc.addPyFile(str(archive))  # served by the driver, to executors that come later as well
+    _shipped.add(sc.applicationId)
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
