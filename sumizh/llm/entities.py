@@ -9,8 +9,9 @@
    in the address, region and size).  The sorted list is cut into blocks of equal
    length that overlap by the window, so that no key, however common, makes a large
    task.  Within the window, classes of different sources are compared by weighted
-   field similarities, which gives a confidence.  Where more classes share a name and
-   region than a window holds, they meet in a join on these, so none is missed.
+   field similarities, which gives a confidence.  Classes with one name, in regions that
+   are alike or unknown, all meet in a join as well, however many they are: a common
+   name is compared in blocks, and only pairs whose fields rule them out are not scored.
 3. Classes of the first source with one code, or with one name, type, region and size,
    are one thing; likewise classes of the second taken for one name and region in one
    district.  *One-to-one assignment* of these by an auction: things of the second
@@ -43,8 +44,8 @@ from sumizh.session import cut, width
 
 #: Classes that a class is compared with on either side, by sort key, and length of a block.
 WINDOW, BLOCK = 12, 4000
-#: Classes of a source with one name and region that all meet all of the other source.
-CROWD = 64
+#: Classes of a source with one name that a block holds about; it bounds tasks, not what is compared.
+CELL = 256
 #: Confidence that a pair must reach, and one that is certain enough to learn districts from.
 LEAST, SURE = 0.62, 0.85
 #: Least gain for which the auction goes on.
@@ -285,18 +286,39 @@ def _neighbours(classes: DataFrame, districts) -> DataFrame:
     return blocks.groupBy("block").applyInPandas(compare, "p bigint, c bigint, conf double")
 
 
+def _most_points(districts) -> F.Column:
+    """The points that a pair (p_..., c_...) of one name has at most: exact but for address and district."""
+    p, c = (lambda x: F.col(f"p_{x}")), (lambda x: F.col(f"c_{x}"))
+
+    def points(field: str, known: F.Column, value: F.Column) -> F.Column:
+        yes, no = WEIGHTS[field]
+        return F.when(known, yes * value + no * (1.0 - value)).otherwise(0.0)
+
+    off = F.abs(p("size") - c("size")) / F.greatest(p("size"), c("size"))
+    size = F.when(off <= 0.004, 1.0).when((off <= 0.02) | (F.abs(p("size") - c("size")) <= 50), 0.9).otherwise(F.greatest(F.lit(0.0), 0.75 * (1.0 - off / 0.4)))
+    end = F.right(p("kdigits"), F.lit(5))
+    most = F.lit(WEIGHTS["name"][0]) + F.when(F.length(c("address")) >= 5, WEIGHTS["address"][0]).otherwise(0.0)
+    most += points("type", (p("type") != 0) & (c("type") != 0), (p("type") == c("type")).cast("double"))
+    most += points("region", (p("region") != "") & (c("region") != ""), F.when(p("region") == c("region"), 1.0).otherwise(0.8))
+    most += F.coalesce(points("size", (p("size") > 0) & (c("size") > 0), size), F.lit(0.0))
+    most += points("digits", (c("adigits") != "") & ((p("adigits") != "") | (end != "")), ((c("adigits") == p("adigits")) | (c("adigits") == end)).cast("double"))
+    return most + (F.when(c("district") != "", WEIGHTS["district"][0]).otherwise(0.0) if districts else 0.0)
+
+
 def _same_name(classes: DataFrame, districts) -> DataFrame:
-    """(p, c, conf) of classes with one name and region (or none): what a window may not hold."""
-    sizes = classes.groupBy("name", "src").agg(F.count(F.lit(1)).alias("n")).groupBy("name").agg((F.max("n") > CROWD).alias("crowd"))
-    marked = classes.join(sizes, "name")
-    p = marked.where("src = 0").select(*(F.col(x).alias(f"p_{x}") for x in marked.columns))
-    c = marked.where("src = 1").select(*(F.col(x).alias(f"c_{x}") for x in marked.columns))
-    region = (F.col("p_region") == F.col("c_region")) | (F.col("p_region") == "") | (F.col("c_region") == "")
-    name = F.col("p_name") == F.col("c_name")
-    pairs = p.where("NOT p_crowd").join(c.where("NOT c_crowd"), name & region)
-    ends = F.when(F.length("p_kdigits") >= 5, F.substring("p_kdigits", -5, 5))
-    for same in (F.col("p_size") == F.col("c_size"), ends == F.nullif(F.col("c_adigits"), F.lit(""))):
-        pairs = pairs.unionByName(p.where("p_crowd").join(c.where("c_crowd"), name & same & region))
+    """(p, c, conf) of classes with one name, in regions alike or unknown: what a window may not hold."""
+    counted = classes.groupBy("name").agg(*(F.ceil(F.count_if(F.col("src") == s) / CELL).alias(f"{x}_cells") for s, x in enumerate("pc"))).where("p_cells > 0 AND c_cells > 0")
+    marked = classes.join(counted, "name")
+
+    def side(src: int, x: str, other: str) -> DataFrame:
+        """Each class in its cell of its own side and in every one of the other."""
+        own = marked.where(F.col("src") == src).withColumn(f"{x}_cell", F.pmod("rid", f"{x}_cells"))
+        spread = own.withColumn(f"{other}_cell", F.explode(F.sequence(F.lit(0), F.col(f"{other}_cells") - 1)))
+        return spread.select("name", "p_cell", "c_cell", *(F.col(f).alias(f"{x}_{f}") for f in classes.columns))
+
+    region = (F.col("p_region") == "") | (F.col("c_region") == "") | (F.levenshtein("p_region", "c_region") <= 4)  # two swaps; likeness is asked below
+    least = (2.0 * LEAST - 1.0) * sum(WEIGHTS[f][0] for f in ("name", "region")) + 2.0 - 1e-6
+    pairs = side(0, "p", "c").join(side(1, "c", "p"), ["name", "p_cell", "c_cell"]).where(region & (_most_points(districts) >= least)).drop("name", "p_cell", "c_cell")
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = districts.value if districts else None
@@ -304,7 +326,8 @@ def _same_name(classes: DataFrame, districts) -> DataFrame:
             f[["p_size", "c_size"]] = f[["p_size", "c_size"]].fillna(0)
             ps = f[[x for x in f.columns if x.startswith("p_")]].rename(columns=lambda x: x[2:]).itertuples(index=False)
             cs = f[[x for x in f.columns if x.startswith("c_")]].rename(columns=lambda x: x[2:]).itertuples(index=False)
-            out = pd.DataFrame({"p": f["p_rid"], "c": f["c_rid"], "conf": [confidence(a, b, known) for a, b in zip(ps, cs)]})
+            apart = lambda a, b: a.region and b.region and not place_likeness(a.region, b.region)
+            out = pd.DataFrame({"p": f["p_rid"], "c": f["c_rid"], "conf": [0.0 if apart(a, b) else confidence(a, b, known) for a, b in zip(ps, cs)]})
             yield out[out["conf"] >= LEAST]
 
     return pairs.mapInPandas(score, "p bigint, c bigint, conf double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import namedtuple
 
 import pytest
 from hypothesis import given, settings
@@ -85,6 +86,30 @@ def test_match_entities(spark):
     assert entities.match_entities(left.where("false"), right).count() == 0
 
 
+def test_all_of_a_common_name_meet(spark, monkeypatch):
+    """Every pair of one name that reaches LEAST, whatever its other fields, with many namesakes and several blocks."""
+    rnd = random.Random(11)
+    regions, districts = ["", "dzvin", "dzvni", "ternozor", "ternozro", "haiv"], ["", "lozen", "kovil"]
+    rows = [
+        (i, i % 2, "dovhocahan", "", rnd.choice([0, 1, 2]), rnd.choice(regions), rnd.choice(districts), rnd.choice([None, 0, 4000, 4040, 9000]),
+         rnd.choice(["", "dovhocahan", "jasnorajdo"]), rnd.choice(["", "07700", "00123"]), rnd.choice(["", "00123", "20805650000007700"]))
+        for i in range(180)
+    ]
+    names = ["rid", "src", *(f.split()[0] for f in entities.FIELDS.split(", "))]
+    classes = spark.createDataFrame(rows, f"rid bigint, src int, {entities.FIELDS}")
+    learned = {"2080": {"lozen": 1.0}}
+    Row = namedtuple("Row", names)
+    every = [Row(*r)._replace(size=r[7] or 0) for r in rows]
+    monkeypatch.setattr(entities, "CELL", 16, raising=False)
+    for known in (None, spark.sparkContext.broadcast(learned)):
+        wanted = {
+            (p.rid, c.rid) for p in every if p.src == 0 for c in every if c.src == 1
+            if (not p.region or not c.region or entities.place_likeness(p.region, c.region)) and entities.confidence(p, c, learned if known else None) >= entities.LEAST
+        }
+        found = [(r.p, r.c) for r in entities._same_name(classes, known).collect()]
+        assert len(found) == len(set(found)) and set(found) == wanted
+
+
 def test_auction_is_the_best_assignment(spark):
     from itertools import permutations
 
