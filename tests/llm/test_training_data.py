@@ -286,6 +286,30 @@ def test_garbled(spark):
     assert found[1005] == base[3]
 
 
+def test_short_garbles_of_rare_ciphers():
+    """Recall of two short words in a document, for each pair of Cyrillic code pages, though one cipher only was learned."""
+    words = "рада село міста школа дорога вода план проєкт громада район області розвиток культура бюджет робота земля ліси парк центр освіта".split()
+    rnd = random.Random(7)
+    counter = garbled.Counter({w: rnd.randint(200, 900) for w in words})
+    size = garbled.alphabet().size
+    language = garbled.Language(garbled._pairs(counter).reshape(size, size))
+    mixture = garbled.Mixture(language, [], {("s", "utf_8>cp1251"): -3.0})
+    text = lambda bad: ["рада", "села", *bad, "громади"]
+    assert mixture.together(text(["району", "полотно"]), "s", set()) is None
+    tried = found = 0
+    for read_as in garbled.READ_AS:
+        for stored in ("cp1251", "koi8_u", "iso8859_5", "cp866", "mac_cyrillic"):
+            if stored != read_as:
+                try:
+                    bad = [w.encode(stored).decode(read_as) for w in ("дорога", "план")]
+                except UnicodeError:
+                    continue
+                tried += 1
+                more = mixture.together(text(bad), "s", set())
+                found += more is not None and more[1].get(bad[0]) == "дорога"
+    assert tried > 30 and found >= 0.9 * tried, (found, tried)
+
+
 def test_garbled_without_text(spark):
     df = spark.createDataFrame([(1, "s", None)], "doc_id long, source string, text string")
     assert garbled.find_garbled(df).count() == 0
