@@ -61,9 +61,14 @@ def mean_centered_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def doc_frequency_weight(spark: SparkSession, folder: str) -> DataFrame:
     """How many other owners have a line like each query, and the weight that follows."""
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
-    near = V.search(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 1 << 30, SHARED)
+    return frequency_weights(rows.where("vec_id % 100 = 0"), rows)
+
+
+def frequency_weights(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query, df, weight) of ``lines`` among ``rows`` (vec_id, embedding, label)."""
+    near = V.search(lines, rows, "vec_id", "embedding", 1 << 30, SHARED)
     owners = rows.select(F.col("vec_id").alias("id"), F.col("label").alias("other"))
-    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "label")
+    queries = lines.select(F.col("vec_id").alias("query"), "label")
     counted = queries.join(near.join(owners, "id"), "query", "left").groupBy("query").agg(
         F.count_distinct(F.when(F.col("other") != F.col("label"), F.col("other"))).alias("df")
     )
@@ -72,12 +77,20 @@ def doc_frequency_weight(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.add("bipartite_centroid_blend")
 def bipartite_centroid_blend(spark: SparkSession, folder: str) -> DataFrame:
-    """Similarity of neighbouring owners (labels) by their lines and centroids."""
-    rows = table(spark, folder, "embeddings").withColumn("w", F.lit(1.0))
-    packed = pack(rows, "label", "embedding", "w")
+    """Similarity of all owners (labels) by their centred lines, weighted by how few owners share them, and centroids."""
+    return owner_blend(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def owner_blend(rows: DataFrame) -> DataFrame:
+    """(a, b, similarity), a < b, of every two owners of ``rows`` (vec_id, embedding, label)."""
+    centred = rows.crossJoin(F.broadcast(V.mean_vector(rows, "embedding"))).select(  # one row
+        "vec_id", "label", F.zip_with("embedding", "mean", lambda x, m: x.cast("double") - m).alias("embedding")
+    )
+    weights = frequency_weights(centred, centred).select(F.col("query").alias("vec_id"), F.col("weight").alias("w"))
+    lines = centred.select("vec_id", "label", F.col("embedding").cast("array<float>").alias("embedding")).join(weights, "vec_id")
     owners = rows.select("label").distinct()
-    pairs = owners.select(F.col("label").alias("a"), F.explode(F.sequence(F.col("label") + 1, F.col("label") + 9)).alias("b"))
-    return align_pairs(packed, pairs.join(owners.select(F.col("label").alias("b")), "b", "left_semi"), "label")
+    pairs = owners.select(F.col("label").alias("a")).join(owners.select(F.col("label").alias("b")), F.col("a") < F.col("b"))
+    return align_pairs(pack(lines, "label", "embedding", "w"), pairs, "label")
 
 
 @registry.add(

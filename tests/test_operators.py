@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -136,6 +137,28 @@ def test_alignment(spark):
     assert align_pairs(pack(rows, "label", "embedding", "w"), pairs, "label").count() == 2
 
 
+def test_owner_blend_weighs_centred_lines(spark):
+    """Owners far apart in number meet; lines that many owners share weigh less; the mean is taken off first."""
+    from sumizh.plans.vectors import owner_blend
+
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(18, 6)) + 1.5
+    x[::3] = x[0] + 0.01 * rnd.normal(size=(6, 6))
+    labels = [0, 1, 2, 5, 30, 47]
+    rows = [(i, [float(np.float32(v)) for v in x[i]], labels[i // 3]) for i in range(18)]
+    found = {(r.a, r.b): r.similarity for r in owner_blend(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    v = np.array([r[1] for r in rows])
+    v = v - v.mean(axis=0)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    shared = [{rows[j][2] for j in np.flatnonzero(u @ u[i] >= 0.2) if rows[j][2] != rows[i][2]} for i in range(18)]
+    w = np.array([1 / (1 + math.log1p(max(len(s) - 2, 0))) for s in shared])
+    assert w.min() < 1.0
+    own = {o: slice(3 * k, 3 * k + 3) for k, o in enumerate(labels)}
+    wanted = {(a, b): align(v[own[a]], w[own[a]], v[own[b]], w[own[b]]) for a in labels for b in labels if a < b}
+    assert found.keys() == wanted.keys()
+    assert all(abs(found[k] - wanted[k]) < 1e-4 for k in wanted)
+
+
 def test_geo(spark):
     row = spark.range(1).select(
         geo.haversine_km(F.lit(50.45), F.lit(30.52), F.lit(49.84), F.lit(24.03)).alias("km"),
