@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sumizh.functions import text as X
-from sumizh.operators.ranking import first_of
+from sumizh.operators.ranking import first_of, global_rank
 from sumizh.plans.registry import registry
 from sumizh.sources.tables import table
 
@@ -323,8 +323,9 @@ def seed_resolution(spark: SparkSession, folder: str) -> DataFrame:
     None,
 )
 def name_order(spark: SparkSession, folder: str) -> DataFrame:
-    """The hundred first names in the order of the Ukrainian alphabet."""
-    return latest_entities(spark, folder, "name").orderBy(F.collate("name", "uk"), "katottg").limit(100).select("katottg", "name")
+    """All names in the order of the Ukrainian alphabet, with their places."""
+    latest = latest_entities(spark, folder, "name").select("katottg", "name")
+    return global_rank(latest, [F.collate("name", "uk"), F.col("katottg")], "place")
 
 
 @registry.add(

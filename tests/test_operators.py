@@ -159,6 +159,18 @@ def test_owner_blend_weighs_centred_lines(spark):
     assert all(abs(found[k] - wanted[k]) < 1e-4 for k in wanted)
 
 
+def test_name_order_is_whole(spark, monkeypatch):
+    from sumizh.plans import entities as E
+
+    names = [f"{a}{b}" for a in "щґєабїгзьюя" for b in "ґгіїиєеяь" for _ in (0, 1)]
+    df = spark.createDataFrame([(f"UA{i:04}", n) for i, n in enumerate(names)], "katottg string, name string")
+    monkeypatch.setattr(E, "latest_entities", lambda *_: df)
+    found = [(r.place, r.katottg) for r in E.name_order(spark, "").collect()]
+    alphabet = "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя"
+    wanted = sorted(range(len(names)), key=lambda i: ([alphabet.index(c) for c in names[i]], i))
+    assert sorted(found) == [(k, f"UA{i:04}") for k, i in enumerate(wanted, 1)] and len(found) > 100
+
+
 def test_geo(spark):
     row = spark.range(1).select(
         geo.haversine_km(F.lit(50.45), F.lit(30.52), F.lit(49.84), F.lit(24.03)).alias("km"),
