@@ -51,13 +51,15 @@ LATIN = dict(
     )
 )
 _TO_LATIN = str.maketrans({s["Cyrillic"]: s["Latin"] for s in Shapes().spelled if "Cyrillic" in s and "Latin" in s})
+_ASCII_LETTER = re.compile("[A-z]")
+_ONLY_CYRILLIC = re.compile("[" + "".join(c for c in map(chr, range(0x400, 0x500)) if ord(c) not in _TO_LATIN) + "]")
 _WORD = re.compile(r"[^\W_]+(?:’[^\W_]+)*\.?")
 
 
 def simple(text: str) -> str:
     """Small letters of the consistent form; all in Latin letters if the text has none that only Cyrillic has."""
     form = canonical(text) or ""
-    if any("A" <= c <= "z" for c in form) and not any("\u0400" <= c <= "\u04ff" and ord(c) not in _TO_LATIN for c in form):
+    if _ASCII_LETTER.search(form) and not _ONLY_CYRILLIC.search(form):
         form = form.translate(_TO_LATIN)
     return form.lower()
 

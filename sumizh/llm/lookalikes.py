@@ -128,6 +128,7 @@ class Shapes:
 _shapes = Shapes()
 
 
+@lru_cache(maxsize=50_000)
 def script_of(letter: str) -> str:
     for name, pattern in _SCRIPT.items():
         if pattern.match(letter):
@@ -135,6 +136,7 @@ def script_of(letter: str) -> str:
     return "other"
 
 
+@lru_cache(maxsize=50_000)
 def _plain(c: str) -> str:
     """A character without the difference that its width or font makes."""
     if c in _shapes.of:
@@ -179,7 +181,15 @@ def canonical(text: str | None) -> str | None:
     """The consistent form of a text; see the module's text."""
     if text is None:
         return None
-    text = _BLANK.sub(" ", text)
+    # runs of letters don't cross blanks, so that words, which recur, have their form on their own
+    return " ".join(form for word in _BLANK.split(text) if word and (form := _of_word(word)))
+
+
+@lru_cache(maxsize=50_000)
+def _of_word(text: str) -> str:
+    """The consistent form of a text without blanks."""
+    if text.isascii() and text.isprintable() and not any(c.isalpha() for c in text):
+        return text.translate(_SIGNS)
     text = _UNSEEN.sub("", text)
     text = text.translate(_SIGNS)
     text = "".join(c if c < "\x80" else _plain(c) for c in unicodedata.normalize("NFD", text))
