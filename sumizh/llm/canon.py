@@ -50,6 +50,7 @@ LATIN = dict(
         "a b v h g d e ie zh z y i i i k l m n o p r s t u f kh ts ch sh shch  iu ia ".split(" "),
     )
 )
+_LATIN = str.maketrans(LATIN)
 _TO_LATIN = str.maketrans({s["Cyrillic"]: s["Latin"] for s in Shapes().spelled if "Cyrillic" in s and "Latin" in s})
 _ASCII_LETTER = re.compile("[A-z]")
 _ONLY_CYRILLIC = re.compile("[" + "".join(c for c in map(chr, range(0x400, 0x500)) if ord(c) not in _TO_LATIN) + "]")
@@ -74,7 +75,7 @@ def phrase(text: str) -> str:
 
 
 def transcribed(text: str) -> str:
-    return "".join(LATIN.get(c, c) for c in text)
+    return text.translate(_LATIN)
 
 
 def edits(a: str, b: str, most: int) -> int:

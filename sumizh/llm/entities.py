@@ -6,21 +6,24 @@
    Records with equal fields are one class, which is compared once.
 2. *Sorted neighbourhood*: all classes of both sources are sorted by several composite
    keys at once (name and region, the name reversed, the name from its middle, the name
-   in the address, region and size).  The sorted list is cut into blocks of equal
-   length that overlap by the window, so that no key, however common, makes a large
-   task.  Within the window, classes of different sources are compared by weighted
-   field similarities, which gives a confidence.  Classes with one name, in regions that
-   are alike or unknown, all meet in a join as well, however many they are: a common
-   name is compared in blocks, and only pairs whose fields rule them out are not scored.
+   in the address, region and size), each followed by size and digits, so that classes
+   with an equal key lie beside those that are most alike.  The sorted list is cut by
+   ranges of the keys, and a window slides over each part and over each border, so that
+   no key, however common, makes a large task.  Within the window, classes of different
+   sources are compared by weighted field similarities, which gives a confidence.  More
+   than ``WINDOW`` classes of one name can't all meet in a window; for these, and only
+   these, the classes of one name meet in a join as well, salted into blocks.
 3. Classes of the first source with one code, or with one name, type, region and size,
    are one thing; likewise classes of the second taken for one name and region in one
-   district.  *One-to-one assignment* of these by an auction: things of the second
-   source bid for those of the first, prices rise, until nobody gains by another bid,
-   which brings the total confidence within ``STEP`` per thing of its maximum.
-   Records of the second source whose region or district is not known can't tell
-   which thing they are, bid for themselves and go to their best partner beside others.
+   district.  Classes of the second whose region or district is not known belong to the
+   thing of the second source that prefers the same partner and, where there is none, to
+   one of their own for each preferred partner.  *One-to-one assignment* of things by an
+   auction: things of the second source bid for those of the first, prices rise, until
+   nobody gains by another bid, which brings the total confidence within ``STEP`` per
+   thing of its maximum.  Pairs that have no rival need no auction.
 4. Districts are known to the second source only.  Which part of a code stands for
-   which district is counted over pairs of high confidence and used in a second round.
+   which district is counted over pairs of high confidence, and the confidence of every
+   pair found is completed by it.
 
 Defined results: records without a name are not matched; null fields count neither for
 nor against; repeated rows and several records of one thing each give a pair; of equal
@@ -31,10 +34,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import count
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -42,8 +47,8 @@ from pyspark.sql.window import Window
 from sumizh.llm.canon import edits, simple, transcribed
 from sumizh.session import cut, width
 
-#: Classes that a class is compared with on either side, by sort key, and length of a block.
-WINDOW, BLOCK = 12, 4000
+#: Classes that a class is compared with on either side, by sort key.
+WINDOW = 12
 #: Classes of a source with one name that a block holds about; it bounds tasks, not what is compared.
 CELL = 256
 #: Confidence that a pair must reach, and one that is certain enough to learn districts from.
@@ -59,6 +64,7 @@ TITLES = (
     "відновлення програма центром об’єднана об’єднаної року роки область області районна "
     "terytorialna territorialnaia terytorialnaia hromada gromada community council territorial strategy strategiia rozvytku plan vidnovlennia"
 ).split()
+_LONGEST_TITLE = max(map(len, TITLES))
 TYPES = (
     (r"сільс|сіл\.|silsk|центром у с\.|selsk(?:aia|a)\b", 1),
     (r"селищ|сел\.|selyshch|selisch|selishch|selysch|\bсмт\b|\bsmt\b", 2),
@@ -68,6 +74,13 @@ _TYPE = [(re.compile(p), n) for p, n in TYPES]
 _TYPE_WORD = re.compile(r"^(?:сільс|селищн|міськ|silsk|selyshchn|selischn|selishchn|selyschn|misk)\w*$|^(?:сіл|сел|міс|тер|смт|тг|отг|рр|обл|smt|otg)$")
 
 
+_SHORT = re.compile(r"(?<!центром у )(?<![^\W\d_])([^\W\d_]{1,6})\.\s*(?=\w)")
+_NUMBERED = re.compile(r"\([^)]*\d[^)]*\)")
+_JOINED = re.compile(r"(?<=\w)[-–](?=\w)")
+_TITLE_WORD = re.compile(r"[^\W\d_]+(?:’[^\W\d_]+)*")
+
+
+@lru_cache(maxsize=50_000)
 def code(text: str) -> str:
     """Letters of a word in one transcription in which the usual ones agree."""
     latin = re.sub(r"[^a-z]", "", transcribed(text).replace("’", "").replace("ь", ""))
@@ -84,20 +97,21 @@ def stem(word: str) -> str:
 
 def name_of(title: str) -> tuple[str, str]:
     """(code of the name in a title, code of its abbreviated beginning): the longest word that is no word of titles."""
-    plain = re.sub(r"\([^)]*\d[^)]*\)", " ", simple(title))
-    plain = re.sub(r"(?<=\w)[-–](?=\w)", "", plain)
+    plain = _JOINED.sub("", _NUMBERED.sub(" ", simple(title)))
     best = ""
-    for word in re.findall(r"[^\W\d_]+(?:’[^\W\d_]+)*", plain):
+    for word in _TITLE_WORD.findall(plain):
         if len(word) > len(best) and not _TYPE_WORD.match(word) and not _is_title(word):
             best = word
-    short = re.search(rf"(?<!центром у )(?<![^\W\d_])([^\W\d_]{{1,6}})\.\s*{re.escape(best)}", plain) if best else None
-    return stem(best), code(short.group(1)) if short and not _TYPE_WORD.match(short.group(1)) else ""
+    short = next((m.group(1) for m in _SHORT.finditer(plain) if plain.startswith(best, m.end())), "") if best and "." in plain else ""
+    return stem(best), code(short) if short and not _TYPE_WORD.match(short) else ""
 
 
 @lru_cache(maxsize=50_000)
 def _is_title(word: str) -> bool:
     if len(word) < 4:
         return True
+    if len(word) > _LONGEST_TITLE + 2:
+        return False
     return any(edits(word, t, 2 if len(t) > 7 else 1) <= (2 if len(t) > 7 else 1) for t in TITLES)
 
 
@@ -183,8 +197,8 @@ def size_likeness(a: float, b: float) -> float:
     return 1.0 if off <= 0.004 else 0.9 if off <= 0.02 or abs(a - b) <= 50 else max(0.0, 0.75 * (1.0 - off / 0.4))
 
 
-def confidence(p, c, districts: dict[str, dict[str, float]] | None = None) -> float:
-    """How surely two records describe the same thing, from 0 to 1, from points for each field."""
+def points(p, c) -> float | None:
+    """Points of all fields but the district for two records to describe the same thing; None if names rule it out."""
     if c.short:
         likeness = 0.95 if p.name.startswith(c.short) and p.name.endswith(c.name) and len(p.name) > len(c.name) + 1 else 0.0
     else:
@@ -196,18 +210,18 @@ def confidence(p, c, districts: dict[str, dict[str, float]] | None = None) -> fl
         elif len(c.address) >= 10 and name_likeness(p.name, c.address) == 0.0:
             beside = -0.5
     if likeness == 0.0 and not (beside == 1.0 and p.name == c.address):
-        return 0.0
+        return None
     if likeness == 0.0:
         likeness = 0.4 if edits(p.name, c.short + c.name, 5) <= 5 else 0.0
         if not likeness:
-            return 0.0
+            return None
     yes, no = WEIGHTS["name"]
-    points = yes * likeness + no * (1.0 - likeness)
-    points += beside * WEIGHTS["address"][0]
+    total = yes * likeness + no * (1.0 - likeness)
+    total += beside * WEIGHTS["address"][0]
 
     def add(field: str, value: float) -> None:
-        nonlocal points
-        points += WEIGHTS[field][0] * value + WEIGHTS[field][1] * (1.0 - value)
+        nonlocal total
+        total += WEIGHTS[field][0] * value + WEIGHTS[field][1] * (1.0 - value)
 
     if p.type and c.type:
         add("type", float(p.type == c.type))
@@ -218,12 +232,83 @@ def confidence(p, c, districts: dict[str, dict[str, float]] | None = None) -> fl
     ends = [d for d in (p.adigits, p.kdigits[-5:]) if d]
     if c.adigits and ends:
         add("digits", float(c.adigits in ends))
-    if districts and c.district and len(p.kdigits) == 17:
-        seen = districts.get(p.kdigits[:4])
-        if seen:
-            add("district", max((share * district_likeness(d, c.district) for d, share in seen.items()), default=0.0))
-    most = sum(WEIGHTS[f][0] for f in ("name", "region"))
-    return max(0.0, min(1.0, 0.5 + 0.5 * (points - 2.0) / most))
+    return total
+
+
+#: Points of a confidence of 1 beyond those of an even chance.
+FULL = sum(WEIGHTS[f][0] for f in ("name", "region"))
+
+
+def confidence(total: Column) -> Column:
+    """How surely two records describe the same thing, from 0 to 1, from their points."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + 0.5 * (total - 2.0) / FULL))
+
+
+#: Points that a pair needs for ``LEAST``, and before its district is known.
+ENOUGH = (2.0 * LEAST - 1.0) * FULL + 2.0 - 1e-9
+ALMOST = ENOUGH - WEIGHTS["district"][0]
+
+
+class Records:
+    """Records in arrays, for comparing many pairs at once."""
+
+    def __init__(self, f: pd.DataFrame) -> None:
+        self.rows = list(f[RECORD].fillna({"size": 0}).itertuples(index=False))
+        self.type, self.size = f["type"].to_numpy(), f["size"].fillna(0).to_numpy("f8")
+        self.names, self.at = self._numbered(f["name"], f["address"], f["address"])
+        self.name, self.address, _ = self.at
+        self.regions, (self.region,) = self._numbered(f["region"])
+        _, (self.adigits, self.kend) = self._numbered(f["adigits"], f["kdigits"].str[-5:])
+        self.short = (f["short"] != "").to_numpy()
+        self.length = np.array([len(n) for n in self.names])
+        # how often each letter is in a word: a bound of the edits between two words
+        self.letters = np.zeros((len(self.names), 26), dtype="i1")
+        for i, n in enumerate(self.names):
+            for c in n:
+                self.letters[i, ord(c) - 97] += 1
+
+    @staticmethod
+    def _numbered(*columns: pd.Series) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The different texts of the columns, the empty one first, and each column as their numbers."""
+        codes, texts = pd.factorize(np.concatenate([[""], *(c.to_numpy(dtype=object) for c in columns)]))
+        return texts, np.split(codes[1:], len(columns))
+
+    def score(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, points) of the pairs of records i of the first source and j of the second that may be enough.
+
+        What numbers can rule out is left out for many pairs at once: regions that are
+        unlike, fields with which even equal names aren't enough, names with more
+        different letters than edits are allowed.  The rest is compared one by one.
+        """
+        own, other = self.region[i], self.region[j]
+        known = (own != 0) & (other != 0)
+        near = own == other
+        for k in np.flatnonzero(known & ~near):
+            near[k] = place_likeness(self.regions[own[k]], self.regions[other[k]]) > 0
+        most = np.full(len(i), WEIGHTS["name"][0])
+        most += np.where(known, WEIGHTS["region"][0], 0.0)
+        most += np.where(self.length[self.address[j]] >= 5, WEIGHTS["address"][0], 0.0)
+        both = (self.type[i] != 0) & (self.type[j] != 0)
+        most += np.where(both, np.where(self.type[i] == self.type[j], *WEIGHTS["type"]), 0.0)
+        a, b = self.size[i], self.size[j]
+        off = np.abs(a - b) / np.maximum(np.maximum(a, b), 1.0)
+        size = np.where((off <= 0.02) | (np.abs(a - b) <= 50), 1.0, np.maximum(0.0, 0.75 * (1.0 - off / 0.4)))
+        yes, no = WEIGHTS["size"]
+        most += np.where((a > 0) & (b > 0), yes * size + no * (1.0 - size), 0.0)
+        digits = self.adigits[j]
+        told = (digits != 0) & ((self.adigits[i] != 0) | (self.kend[i] != 0))
+        most += np.where(told, np.where((digits == self.adigits[i]) | (digits == self.kend[i]), *WEIGHTS["digits"]), 0.0)
+        kept = (near | ~known) & (most >= ALMOST)
+        i, j = i[kept], j[kept]
+        x, y = self.name[i], self.name[j]
+        shorter = np.minimum(self.length[x], self.length[y])
+        allowed = np.minimum(3, np.maximum(1, shorter // 4))
+        apart = np.abs(self.letters[x].astype("i4") - self.letters[y]).sum(axis=1)
+        kept = (x == y) | self.short[j] | (x == self.address[j]) | ((apart <= 2 * allowed) & (np.abs(self.length[x] - self.length[y]) <= allowed))
+        i, j = i[kept], j[kept]
+        found = np.array([np.nan if (v := points(self.rows[a], self.rows[b])) is None else v for a, b in zip(i, j)], dtype="f8")
+        kept = found >= ALMOST
+        return i[kept], j[kept], found[kept]
 
 
 def _keys() -> F.Column:
@@ -238,111 +323,123 @@ def _keys() -> F.Column:
     )
 
 
-def _ranked(classes: DataFrame) -> DataFrame:
-    """All classes by all keys in one sorted list, with their global rank."""
+def _sorted(classes: DataFrame) -> DataFrame:
+    """All classes by all keys in one list, sorted by range partitions; ``part`` and ``at`` tell the place."""
     keyed = classes.withColumn("by", F.explode(_keys())).select("*", F.col("by.k").alias("k"), F.col("by.key").alias("key")).drop("by").where("key IS NOT NULL")
-    parts = width(classes.sparkSession)
-    sorted_rows = cut(
-        keyed.repartitionByRange(parts, "k", "key", "src", "rid")
-        .sortWithinPartitions("k", "key", "src", "rid")
+    order = ["k", "key", "size", "adigits", "src", "rid"]
+    return cut(
+        keyed.repartitionByRange(width(classes.sparkSession), *order)
+        .sortWithinPartitions(*order)
+        .drop("key")
         .withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
     )
-    # one row per partition
-    counts = sorted_rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return sorted_rows.join(F.broadcast(before.select("part", "before")), "part").withColumn("rank", F.col("before") + F.col("at"))
-
-
-def _neighbours(classes: DataFrame, districts) -> DataFrame:
-    """(p, c, conf) of classes that come near each other in the sorted list."""
-    ranked = _ranked(classes)
-    block = F.floor(F.col("rank") / BLOCK)
-    last = F.col("rank") % BLOCK >= BLOCK - WINDOW
-    blocks = ranked.withColumn("block", F.explode(F.when(last, F.array(block, block + 1)).otherwise(F.array(block))))
-
-    def compare(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rank")
-        f["size"] = f["size"].fillna(0)
-        rows = list(f.itertuples(index=False))
-        found: dict[tuple[int, int], float] = {}
-        known = districts.value if districts else None
-        for i, a in enumerate(rows):
-            seen = 0
-            for j in range(i + 1, min(len(rows), i + 1 + 4 * WINDOW)):
-                b = rows[j]
-                if b.k != a.k or b.rank - a.rank > WINDOW:
-                    break
-                seen += 1
-                if a.src == b.src:
-                    continue
-                p, c = (a, b) if a.src == 0 else (b, a)
-                if p.region and c.region and not place_likeness(p.region, c.region):
-                    continue
-                if (p.rid, c.rid) not in found:
-                    found[p.rid, c.rid] = confidence(p, c, known)
-        kept = [(p, c, v) for (p, c), v in found.items() if v >= LEAST]
-        return pd.DataFrame(kept, columns=["p", "c", "conf"]).astype({"p": "int64", "c": "int64", "conf": "float64"})
-
-    return blocks.groupBy("block").applyInPandas(compare, "p bigint, c bigint, conf double")
-
-
-def _most_points(districts) -> F.Column:
-    """The points that a pair (p_..., c_...) of one name has at most: exact but for address and district."""
-    p, c = (lambda x: F.col(f"p_{x}")), (lambda x: F.col(f"c_{x}"))
-
-    def points(field: str, known: F.Column, value: F.Column) -> F.Column:
-        yes, no = WEIGHTS[field]
-        return F.when(known, yes * value + no * (1.0 - value)).otherwise(0.0)
-
-    off = F.abs(p("size") - c("size")) / F.greatest(p("size"), c("size"))
-    size = F.when(off <= 0.004, 1.0).when((off <= 0.02) | (F.abs(p("size") - c("size")) <= 50), 0.9).otherwise(F.greatest(F.lit(0.0), 0.75 * (1.0 - off / 0.4)))
-    end = F.right(p("kdigits"), F.lit(5))
-    most = F.lit(WEIGHTS["name"][0]) + F.when(F.length(c("address")) >= 5, WEIGHTS["address"][0]).otherwise(0.0)
-    most += points("type", (p("type") != 0) & (c("type") != 0), (p("type") == c("type")).cast("double"))
-    most += points("region", (p("region") != "") & (c("region") != ""), F.when(p("region") == c("region"), 1.0).otherwise(0.8))
-    most += F.coalesce(points("size", (p("size") > 0) & (c("size") > 0), size), F.lit(0.0))
-    most += points("digits", (c("adigits") != "") & ((p("adigits") != "") | (end != "")), ((c("adigits") == p("adigits")) | (c("adigits") == end)).cast("double"))
-    return most + (F.when(c("district") != "", WEIGHTS["district"][0]).otherwise(0.0) if districts else 0.0)
-
-
-def _same_name(classes: DataFrame, districts) -> DataFrame:
-    """(p, c, conf) of classes with one name, in regions alike or unknown: what a window may not hold."""
-    counted = classes.groupBy("name").agg(*(F.ceil(F.count_if(F.col("src") == s) / CELL).alias(f"{x}_cells") for s, x in enumerate("pc"))).where("p_cells > 0 AND c_cells > 0")
-    marked = classes.join(counted, "name")
-
-    def side(src: int, x: str, other: str) -> DataFrame:
-        """Each class in its cell of its own side and in every one of the other."""
-        own = marked.where(F.col("src") == src).withColumn(f"{x}_cell", F.pmod("rid", f"{x}_cells"))
-        spread = own.withColumn(f"{other}_cell", F.explode(F.sequence(F.lit(0), F.col(f"{other}_cells") - 1)))
-        return spread.select("name", "p_cell", "c_cell", *(F.col(f).alias(f"{x}_{f}") for f in classes.columns))
-
-    region = (F.col("p_region") == "") | (F.col("c_region") == "") | (F.levenshtein("p_region", "c_region") <= 4)  # two swaps; likeness is asked below
-    least = (2.0 * LEAST - 1.0) * sum(WEIGHTS[f][0] for f in ("name", "region")) + 2.0 - 1e-6
-    pairs = side(0, "p", "c").join(side(1, "c", "p"), ["name", "p_cell", "c_cell"]).where(region & (_most_points(districts) >= least)).drop("name", "p_cell", "c_cell")
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = districts.value if districts else None
+
+
+PAIRS = "p string, c string, points double, digits string, district string"
+RECORD = ["name", "short", "type", "region", "size", "address", "adigits", "kdigits"]
+
+
+def _scored(f: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """``PAIRS`` of the rows i of the first source and j of the second of a frame that may be enough."""
+    i, j, found = Records(f).score(i, j)
+    p, c = f.iloc[i], f.iloc[j]
+    digits = np.where(p["kdigits"].str.len() == 17, p["kdigits"].str[:4], "")
+    return pd.DataFrame({"p": p["rid"].to_numpy(), "c": c["rid"].to_numpy(), "points": found, "digits": digits, "district": c["district"].to_numpy()})
+
+
+def _within(f: pd.DataFrame, crosses: np.ndarray | None = None) -> pd.DataFrame:
+    """Pairs of different sources within the window; with ``crosses``, only those on either side of a border."""
+    k, src = f["k"].to_numpy(), f["src"].to_numpy()
+    place = None if crosses is None else f["rank"].to_numpy()
+    left, right = [], []
+    for d in range(1, min(len(f), WINDOW + 1)):
+        met = (k[:-d] == k[d:]) & (src[:-d] != src[d:])
+        if crosses is not None:
+            met &= (crosses[:-d] != crosses[d:]) & (place[d:] - place[:-d] <= WINDOW)
+        a = np.flatnonzero(met)
+        left.append(np.where(src[a] == 0, a, a + d))
+        right.append(np.where(src[a] == 0, a + d, a))
+    if not left:
+        return _scored(f, np.zeros(0, dtype=int), np.zeros(0, dtype=int))
+    return _scored(f, np.concatenate(left), np.concatenate(right))
+
+
+def _neighbours(classes: DataFrame) -> DataFrame:
+    """``PAIRS`` of classes that come near each other in the sorted list."""
+    ranked = _sorted(classes)
+
+    def slide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: pd.DataFrame | None = None
         for f in frames:
-            f[["p_size", "c_size"]] = f[["p_size", "c_size"]].fillna(0)
-            ps = f[[x for x in f.columns if x.startswith("p_")]].rename(columns=lambda x: x[2:]).itertuples(index=False)
-            cs = f[[x for x in f.columns if x.startswith("c_")]].rename(columns=lambda x: x[2:]).itertuples(index=False)
-            apart = lambda a, b: a.region and b.region and not place_likeness(a.region, b.region)
-            out = pd.DataFrame({"p": f["p_rid"], "c": f["c_rid"], "conf": [0.0 if apart(a, b) else confidence(a, b, known) for a, b in zip(ps, cs)]})
-            yield out[out["conf"] >= LEAST]
+            if len(f):
+                joined = f if last is None else pd.concat([last, f], ignore_index=True)
+                yield _within(joined)
+                last = joined.tail(WINDOW)
+
+    inside = ranked.mapInPandas(slide, PAIRS)
+    # the rows beside each border between parts: a few for each
+    counts = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = ranked.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("at")).where((F.col("at") < WINDOW) | (F.col("at") >= F.col("n") - WINDOW))
+    stretch = lambda c: F.floor(F.col(c) / WINDOW)
+    borders = starts.where("start > 0").select(F.col("start").alias("border"), stretch("start").alias("stretch"))
+    near = placed.withColumn("stretch", F.explode(F.sequence(stretch("rank") - 1, stretch("rank") + 1)))
+    beside = near.join(F.broadcast(borders), "stretch").where((F.col("rank") >= F.col("border") - WINDOW) & (F.col("rank") < F.col("border") + WINDOW))
+
+    def over(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("rank", ignore_index=True)
+        return _within(f, (f["rank"] >= f["border"]).to_numpy())
+
+    return inside.unionAll(beside.groupBy("border").applyInPandas(over, PAIRS))
 
-    return pairs.mapInPandas(score, "p bigint, c bigint, conf double")
 
+def _same_name(classes: DataFrame) -> DataFrame:
+    """``PAIRS`` of classes of one name where these are too many to meet in a window, in blocks."""
+    counted = classes.groupBy("name").agg(F.count(F.lit(1)).alias("n"), *(F.ceil(F.count_if(F.col("src") == s) / CELL).cast("int").alias(f"{x}_cells") for s, x in enumerate("pc")))
+    crowded = classes.join(counted.where(f"n > {WINDOW} AND p_cells > 0 AND c_cells > 0").drop("n"), "name")
+    salt = F.abs(F.xxhash64("rid"))
+    own = lambda cells: F.array((salt % F.col(cells)).cast("int"))
+    every = lambda cells: F.sequence(F.lit(0), F.col(cells) - 1)
+    spread = crowded.withColumn("p_cell", F.explode(F.when(F.col("src") == 0, own("p_cells")).otherwise(every("p_cells"))))
+    spread = spread.withColumn("c_cell", F.explode(F.when(F.col("src") == 1, own("c_cells")).otherwise(every("c_cells"))))
 
-def _candidates(classes: DataFrame, districts=None) -> DataFrame:
-    found = _neighbours(classes, districts).unionAll(_same_name(classes, districts))
-    return cut(found.groupBy("p", "c").agg(F.max("conf").alias("conf")))
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        p, c = (np.flatnonzero(f["src"].to_numpy() == s) for s in (0, 1))
+        parts = [_scored(f, np.repeat(some, len(c)), np.tile(c, len(some))) for some in np.array_split(p, max(1, len(p) * len(c) // 100_000))]
+        return pd.concat(parts)
 
+    return spread.groupBy("name", "p_cell", "c_cell").applyInPandas(meet, PAIRS)
 
-def _learn_districts(classes: DataFrame, pairs: DataFrame) -> dict[str, dict[str, float]]:
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    found = _neighbours(classes).unionAll(_same_name(classes))
+    return cut(found.groupBy("p", "c").agg(*(F.max(x).alias(x) for x in ("points", "digits", "district"))))
+
+
+def _with_districts(pairs: DataFrame, districts) -> DataFrame:
+    """(p, c, conf) of pairs that are enough, with the points of their districts."""
+
+    @F.pandas_udf(T.DoubleType())
+    def told(digits: pd.Series, district: pd.Series) -> pd.Series:
+        yes, no = WEIGHTS["district"]
+
+        @lru_cache(maxsize=50_000)
+        def of(d: str, name: str) -> float:
+            seen = districts.value.get(d)
+            if not seen or not name:
+                return 0.0
+            value = max(share * district_likeness(known, name) for known, share in seen.items())
+            return yes * value + no * (1.0 - value)
+
+        return pd.Series([of(d, n) for d, n in zip(digits, district)], dtype="f8")
+
+    total = pairs.withColumn("points", F.col("points") + told("digits", "district"))
+    return total.where(F.col("points") >= ENOUGH).select("p", "c", confidence(F.col("points")).alias("conf"))
+
+
+def _learn_districts(pairs: DataFrame) -> dict[str, dict[str, float]]:
     """Shares of the districts for each four digits of codes, from pairs that are sure; a bounded table."""
-    p = classes.where("src = 0 AND length(kdigits) = 17").select(F.col("rid").alias("p"), F.substring("kdigits", 1, 4).alias("digits"))
-    c = classes.where("src = 1 AND district <> ''").select(F.col("rid").alias("c"), "district")
-    counted = pairs.where(F.col("conf") >= SURE).join(p, "p").join(c, "c").groupBy("digits", "district").count()
+    counted = pairs.where((confidence(F.col("points")) >= SURE) & (F.col("digits") != "") & (F.col("district") != "")).groupBy("digits", "district").count()
     # at most 10,000 digits with their ten commonest districts
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("digits").orderBy(F.desc("count"), "district"))).where("r <= 10").collect()
     found: dict[str, dict[str, float]] = {}
@@ -370,79 +467,79 @@ def _spelled(district: F.Column, districts) -> F.Column:
     return nearest(district)
 
 
-def _things(classes: DataFrame, candidates: DataFrame, districts) -> tuple[DataFrame, DataFrame]:
-    """(p, thing) and (c, bidder, alone): what the classes of either source describe."""
-    p = classes.where("src = 0")
-    coded = p.where("length(kdigits) = 17").select("rid", "name", "type", "region", "size", F.concat(F.lit("k"), "kdigits").alias("thing"))
-    plain = p.where("length(kdigits) <> 17").select("rid", "name", "type", "region", "size")
-    known = coded.select("name", F.col("type").alias("t"), F.col("region").alias("r"), F.col("size").alias("s"), "thing").distinct()
-    near = (
-        plain.join(known, "name")
-        .where("(type = t OR type = 0 OR t = 0) AND (region = r OR region = '' OR r = '') AND (size = s OR size IS NULL OR s IS NULL)")
-        .groupBy("rid")
-        .agg(F.min("thing").alias("thing"), F.countDistinct("thing").alias("n"))
-        .where("n = 1")
-    )
-    own = plain.join(near.select("rid", F.col("thing").alias("found")), "rid", "left")
-    things = coded.select(F.col("rid").alias("p"), "thing").unionAll(
-        own.select(
-            F.col("rid").alias("p"),
-            F.coalesce("found", F.concat_ws("|", F.lit("n"), "name", "type", "region", F.coalesce(F.col("size").cast("string"), F.lit("")))).alias("thing"),
-        )
+def _things(classes: DataFrame) -> DataFrame:
+    """(p, thing): what the classes of the first source describe.
+
+    A class without a whole code is the coded thing of its name, type, region and size,
+    if there is only one; what is unknown on either side fits anything.  Coded things
+    are counted for each choice of fields left out, so that no name becomes a product.
+    """
+    p = classes.where("src = 0").select(F.col("rid").alias("p"), "name", "type", "region", "size", "kdigits")
+    coded = p.where("length(kdigits) = 17").withColumn("thing", F.concat(F.lit("k"), "kdigits"))
+    plain = p.where("length(kdigits) <> 17")
+    told = {"type": F.col("type") != 0, "region": F.col("region") != "", "size": F.col("size").isNotNull()}
+    value = {f: F.coalesce(F.when(known, F.col(f).cast("string")), F.lit("?")) for f, known in told.items()}
+    masked = lambda rows, options: reduce(lambda x, f: x.withColumn(f"m_{f}", F.explode(options(f))), told, rows)
+    keys = ["name", *(f"m_{f}" for f in told)]
+    # of the coded: as they are, and left out; of the others: the same value or unknown, or anything
+    offered = masked(coded.select("name", "type", "region", "size", "thing").distinct(), lambda f: F.array(value[f], F.lit("*")))
+    offered = offered.groupBy(*keys).agg(F.min("thing").alias("low"), F.max("thing").alias("high"))
+    asked = masked(plain, lambda f: F.when(told[f], F.array(value[f], F.lit("?"))).otherwise(F.array(F.lit("*"))))
+    found = asked.join(offered, keys).groupBy("p").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high").select("p", F.col("low").alias("found"))
+    own = plain.join(found, "p", "left")
+    return coded.select("p", "thing").unionAll(
+        own.select("p", F.coalesce("found", F.concat_ws("|", F.lit("n"), "name", "type", "region", F.coalesce(F.col("size").cast("string"), F.lit("")))).alias("thing"))
     )
-    # the name a class of the second source is taken for: that of its best partner
-    best = candidates.groupBy("c").agg(F.max(F.struct("conf", (-F.col("p")).alias("p"))).alias("b")).select("c", (-F.col("b.p")).alias("p"))
-    named = best.join(p.select(F.col("rid").alias("p"), F.concat_ws("|", "name", "region").alias("taken_for")), "p").select("c", "taken_for")
+
+
+def _bidders(classes: DataFrame, pairs: DataFrame, things: DataFrame, districts) -> DataFrame:
+    """(c, bidder): the things of the second source."""
+    # the partner that a class prefers, and the name it is taken for
+    best = pairs.join(things, "p").groupBy("c").agg(F.max(F.struct("conf", "thing", "p")).alias("b")).select("c", F.col("b.p").alias("p"), F.col("b.thing").alias("first"), "b.conf")
+    named = best.join(classes.where("src = 0").select(F.col("rid").alias("p"), F.concat_ws("|", "name", "region").alias("taken_for")), "p")
     c = classes.where("src = 1").select(F.col("rid").alias("c"), "region", _spelled(F.col("district"), districts).alias("district")).join(named, "c")
-    whole = (F.col("region") != "") & (F.col("district") != "")
-    bidders = c.select(
-        "c",
-        F.when(whole, F.concat_ws("|", "taken_for", "district")).otherwise(F.concat(F.lit("#"), F.col("c").cast("string"))).alias("bidder"),
-        (~whole).alias("alone"),
-    )
-    return things, bidders
+    whole = c.where("region <> '' AND district <> ''").select("c", "first", "conf", F.concat_ws("|", "taken_for", "district").alias("bidder"))
+    prefers = whole.groupBy("first").agg(F.max(F.struct("conf", "bidder")).alias("b")).select("first", F.col("b.bidder").alias("beside"))
+    vague = c.where("region = '' OR district = ''").join(prefers, "first", "left")
+    return whole.select("c", "bidder").unionAll(vague.select("c", F.coalesce("beside", F.concat(F.lit("#"), "first")).alias("bidder")))
 
 
 def _auction(offers: DataFrame) -> DataFrame:
     """(bidder, thing) of the offers (bidder, thing, conf) that an auction settles, each at most once."""
-    offers = cut(offers)
-    spark = offers.sparkSession
-    prices = spark.createDataFrame([], "thing string, price double")
-    owners = spark.createDataFrame([], "thing string, bidder string")
-    while True:
-        waiting = offers.join(owners.select("bidder"), "bidder", "left_anti").join(prices, "thing", "left")
-        gains = waiting.withColumn("gain", F.col("conf") - F.coalesce("price", F.lit(0.0))).where("gain > 0")
+    rivals = offers.withColumns({"bids": F.count(F.lit(1)).over(Window.partitionBy("thing")), "choices": F.count(F.lit(1)).over(Window.partitionBy("bidder"))})
+    rivals = cut(rivals)
+    alone = rivals.where("bids = 1 AND choices = 1").select("bidder", "thing")
+    offers = cut(rivals.where("bids > 1 OR choices > 1").select("bidder", "thing", "conf"))
+    state = offers.sparkSession.createDataFrame([], "thing string, bidder string, price double, round int")
+    for turn in count(1):
+        waiting = offers.join(state.select("bidder"), "bidder", "left_anti").join(state.select("thing", "price"), "thing", "left")
+        gains = waiting.withColumns({"price": F.coalesce("price", F.lit(0.0)), "gain": F.col("conf") - F.coalesce("price", F.lit(0.0))}).where("gain > 0")
         order = Window.partitionBy("bidder").orderBy(F.desc("gain"), "thing")
-        ranked = gains.withColumns({"r": F.row_number().over(order), "next": F.lead("gain").over(order)}).where("r = 1")
-        bids = ranked.select("bidder", "thing", (F.coalesce("price", F.lit(0.0)) + F.col("gain") - F.greatest(F.coalesce("next", F.lit(0.0)), F.lit(0.0)) + STEP).alias("bid"))
-        won = cut(bids.groupBy("thing").agg(F.max(F.struct("bid", "bidder")).alias("w")).select("thing", F.col("w.bidder").alias("bidder"), F.col("w.bid").alias("price")))
-        if won.isEmpty():
-            return owners
-        owners = cut(owners.join(won.select("thing"), "thing", "left_anti").unionByName(won.select("thing", "bidder")))
-        prices = cut(prices.join(won.select("thing"), "thing", "left_anti").unionByName(won.select("thing", "price")))
+        best = gains.withColumns({"r": F.row_number().over(order), "next": F.lead("gain", 1, 0.0).over(order)}).where("r = 1")
+        bids = best.select("bidder", "thing", (F.col("price") + F.col("gain") - F.col("next") + STEP).alias("bid"))
+        won = bids.groupBy("thing").agg(F.max(F.struct("bid", "bidder")).alias("w")).select("thing", F.struct(F.col("w.bidder").alias("bidder"), F.col("w.bid").alias("price"), F.lit(turn).alias("round")).alias("new"))
+        held = state.select("thing", F.struct("bidder", "price", "round").alias("old"))
+        state = cut(held.join(won, "thing", "full").select("thing", F.coalesce("new", "old").alias("s")).select("thing", "s.*"))
+        if state.where(F.col("round") == turn).isEmpty():
+            return alone.unionAll(state.select("bidder", "thing"))
 
 
 def match_entities(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, conf): rows (id, title, region, district, size, url, code) of two sources that describe the same."""
     rows = _fields(left).withColumn("src", F.lit(0)).unionByName(_fields(right).withColumn("src", F.lit(1)))
     fields = ["src", "name", "short", "type", "region", "district", "size", "address", "adigits", "kdigits"]
-    members = cut(rows.withColumn("rid", F.xxhash64(*fields)))
+    members = cut(rows.withColumn("rid", F.md5(F.to_json(F.struct(*fields)))))
     grouped = cut(members.select("rid", *fields).dropDuplicates(["rid"]))
-    first = _candidates(grouped)
-    districts = left.sparkSession.sparkContext.broadcast(_learn_districts(grouped, first))
-    pairs = _candidates(grouped, districts)
-    things, bidders = _things(grouped, pairs, districts)
-    offers = cut(
-        pairs.join(things, "p").join(bidders, "c").groupBy("bidder", "alone", "thing").agg(F.max("conf").alias("conf"))
-    )
-    settled = _auction(offers.where(~F.col("alone")).select("bidder", "thing", "conf"))
-    alone = (
-        offers.where("alone").groupBy("bidder").agg(F.max(F.struct("conf", "thing")).alias("b")).select("bidder", F.col("b.thing").alias("thing"))
-    )
-    joined = settled.select("bidder", "thing").unionByName(alone)
+    found = _candidates(grouped)
+    districts = left.sparkSession.sparkContext.broadcast(_learn_districts(found))
+    pairs = cut(_with_districts(found, districts))
+    things = _things(grouped)
+    bidders = _bidders(grouped, pairs, things, districts)
+    tied = cut(pairs.join(things, "p").join(bidders, "c"))
+    offers = tied.groupBy("bidder", "thing").agg(F.max("conf").alias("conf"))
+    settled = _auction(offers).join(offers, ["bidder", "thing"])
     # all rows of a thing with all rows of what it was settled with
-    confs = offers.select("bidder", "thing", "conf")
-    classes = joined.join(confs, ["bidder", "thing"]).join(things, "thing").join(bidders.select("c", "bidder"), "bidder").select("p", "c", "conf")
+    classes = settled.join(things, "thing").join(bidders, "bidder").select("p", "c", "conf")
     return (
         classes.join(members.where("src = 0").select(F.col("rid").alias("p"), F.col("id").alias("left_id")), "p")
         .join(members.where("src = 1").select(F.col("rid").alias("c"), F.col("id").alias("right_id")), "c")

@@ -96,18 +96,29 @@ def test_all_of_a_common_name_meet(spark, monkeypatch):
         for i in range(180)
     ]
     names = ["rid", "src", *(f.split()[0] for f in entities.FIELDS.split(", "))]
-    classes = spark.createDataFrame(rows, f"rid bigint, src int, {entities.FIELDS}")
-    learned = {"2080": {"lozen": 1.0}}
+    rows = [(f"{i:03}", *r) for i, *r in rows]
+    classes = spark.createDataFrame(rows, f"rid string, src int, {entities.FIELDS}")
     Row = namedtuple("Row", names)
     every = [Row(*r)._replace(size=r[7] or 0) for r in rows]
-    monkeypatch.setattr(entities, "CELL", 16, raising=False)
-    for known in (None, spark.sparkContext.broadcast(learned)):
-        wanted = {
-            (p.rid, c.rid) for p in every if p.src == 0 for c in every if c.src == 1
-            if (not p.region or not c.region or entities.place_likeness(p.region, c.region)) and entities.confidence(p, c, learned if known else None) >= entities.LEAST
-        }
-        found = [(r.p, r.c) for r in entities._same_name(classes, known).collect()]
-        assert len(found) == len(set(found)) and set(found) == wanted
+    wanted = {
+        (p.rid, c.rid): v for p in every if p.src == 0 for c in every if c.src == 1
+        if (not p.region or not c.region or entities.place_likeness(p.region, c.region)) and (v := entities.points(p, c)) is not None and v >= entities.ALMOST
+    }
+    monkeypatch.setattr(entities, "CELL", 16)
+    met = [((r.p, r.c), r.points) for r in entities._same_name(classes).collect()]
+    assert len(met) == len(wanted) and dict(met) == pytest.approx(wanted)
+    # few classes of a name need no join: all of them are within the window, also across the borders of parts
+    few = classes.where("rid < '012'")
+    assert entities._same_name(few).count() == 0
+    assert {(r.p, r.c) for r in entities._candidates(few).collect()} == {(p, c) for p, c in wanted if p < "012" and c < "012"}
+    assert {(r.p, r.c) for r in entities._candidates(classes).collect()} == set(wanted)
+
+
+def test_districts_complete_the_confidence(spark):
+    rows = [("p", "c", entities.ENOUGH - 1.0, "2080", "lozen"), ("p", "d", entities.ENOUGH + 1.0, "2080", "kovil"), ("p", "e", entities.ENOUGH, "", "kovil")]
+    learned = spark.sparkContext.broadcast({"2080": {"lozen": 1.0}})
+    found = {(r.p, r.c) for r in entities._with_districts(spark.createDataFrame(rows, entities.PAIRS), learned).collect()}
+    assert found == {("p", "c"), ("p", "e")}
 
 
 def test_auction_is_the_best_assignment(spark):
