@@ -253,7 +253,7 @@ class Records:
     """Records in arrays, for comparing many pairs at once."""
 
     def __init__(self, f: pd.DataFrame) -> None:
-        self.rows = list(f[RECORD].fillna({"size": 0}).itertuples(index=False))
+        self.rows = f[RECORD].fillna({"size": 0})
         self.type, self.size = f["type"].to_numpy(), f["size"].fillna(0).to_numpy("f8")
         self.names, self.at = self._numbered(f["name"], f["address"], f["address"])
         self.name, self.address, _ = self.at
@@ -262,10 +262,8 @@ class Records:
         self.short = (f["short"] != "").to_numpy()
         self.length = np.array([len(n) for n in self.names])
         # how often each letter is in a word: a bound of the edits between two words
-        self.letters = np.zeros((len(self.names), 26), dtype="i1")
-        for i, n in enumerate(self.names):
-            for c in n:
-                self.letters[i, ord(c) - 97] += 1
+        every = np.frombuffer("".join(self.names).encode("latin-1", "replace"), dtype="u1").astype("i8") % 32
+        self.letters = np.bincount(32 * np.repeat(np.arange(len(self.names)), self.length) + every, minlength=32 * len(self.names)).reshape(-1, 32)
 
     @staticmethod
     def _numbered(*columns: pd.Series) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -303,10 +301,11 @@ class Records:
         x, y = self.name[i], self.name[j]
         shorter = np.minimum(self.length[x], self.length[y])
         allowed = np.minimum(3, np.maximum(1, shorter // 4))
-        apart = np.abs(self.letters[x].astype("i4") - self.letters[y]).sum(axis=1)
+        apart = np.abs(self.letters[x] - self.letters[y]).sum(axis=1)
         kept = (x == y) | self.short[j] | (x == self.address[j]) | ((apart <= 2 * allowed) & (np.abs(self.length[x] - self.length[y]) <= allowed))
         i, j = i[kept], j[kept]
-        found = np.array([np.nan if (v := points(self.rows[a], self.rows[b])) is None else v for a, b in zip(i, j)], dtype="f8")
+        met = zip(self.rows.iloc[i].itertuples(index=False), self.rows.iloc[j].itertuples(index=False))
+        found = np.array([np.nan if (v := points(p, c)) is None else v for p, c in met], dtype="f8")
         kept = found >= ALMOST
         return i[kept], j[kept], found[kept]
 
@@ -533,10 +532,10 @@ def match_entities(left: DataFrame, right: DataFrame) -> DataFrame:
     found = _candidates(grouped)
     districts = left.sparkSession.sparkContext.broadcast(_learn_districts(found))
     pairs = cut(_with_districts(found, districts))
-    things = _things(grouped)
-    bidders = _bidders(grouped, pairs, things, districts)
-    tied = cut(pairs.join(things, "p").join(bidders, "c"))
-    offers = tied.groupBy("bidder", "thing").agg(F.max("conf").alias("conf"))
+    things = cut(_things(grouped))
+    bidders = cut(_bidders(grouped, pairs, things, districts))
+    offers = pairs.join(things, "p").join(bidders, "c").groupBy("bidder", "thing").agg(F.max("conf").alias("conf"))
+    offers = cut(offers)
     settled = _auction(offers).join(offers, ["bidder", "thing"])
     # all rows of a thing with all rows of what it was settled with
     classes = settled.join(things, "thing").join(bidders, "bidder").select("p", "c", "conf")
