@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sumizh.llm.lookalikes import APOSTROPHE, Shapes, canonical
+from sumizh.session import width
 
 UNMATCHED = "unmatched"
 #: Score that an entry must reach, and its distance from the next one.
@@ -100,6 +102,9 @@ def allowed(length: int) -> int:
     return 0 if length < 3 else 1 if length < 6 else 2 if length < 10 else 3
 
 
+_ALLOWED = np.array([allowed(n) for n in range(11)])
+
+
 def alike(typed: str, listed: str) -> float:
     """How alike a typed word is to one of the list, from 0 to 1."""
     short = typed.endswith(".")
@@ -145,16 +150,23 @@ class Entries:
         self.vocabulary = list(vocabulary)
         n, m = len(entries), len(vocabulary)
         self.of_alias = np.array([at for at, _ in self.aliases], dtype=int)
-        self.has = np.zeros((len(self.aliases), m), dtype=bool)
+        # inverted lists: the aliases and the entries that a word of the list is in
+        in_alias: list[list[int]] = [[] for _ in range(m)]
         for i, ids in enumerate(alias_words):
-            self.has[i, ids] = True
-        self.entry_has = np.zeros((n, m), dtype=bool)
-        np.logical_or.at(self.entry_has, self.of_alias, self.has)
-        self.weight = np.log1p(n / np.maximum(1, self.entry_has.sum(axis=0)))
+            for v in ids:
+                in_alias[v].append(i)
+        self.alias_of = [np.array(i, dtype=int) for i in in_alias]
+        in_entry: list[set[int]] = [set() for _ in range(m)]
+        for (at, _), ids in zip(self.aliases, alias_words):
+            for v in ids:
+                in_entry[v].add(at)
+        self.entry_of = [np.array(sorted(e), dtype=int) for e in in_entry]
+        self.weight = np.log1p(n / np.maximum(1, [len(e) for e in in_entry]))
         self.rare = math.log1p(n)
-        self.alias_weight = (self.has * self.weight).sum(axis=1)
+        self.alias_weight = np.array([self.weight[ids].sum() for ids in alias_words])
         self.initials = self._initials(labels)
-        self._known: dict[str, np.ndarray] = {}
+        self._index()
+        self._known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.parts: dict[str, list[int]] = {}
         for i, (_, parts) in enumerate(self.aliases):
             for p in parts:
@@ -231,34 +243,87 @@ class Entries:
         best = sorted(score.items(), key=lambda x: -x[1])
         return best[0][0] if best and (len(best) == 1 or best[1][1] < best[0][1]) else None
 
-    def _similar(self, word: str) -> np.ndarray:
+    def _index(self) -> None:
+        """What tells quickly which words of the list a typed word may be alike to."""
+        self.number = {v: i for i, v in enumerate(self.vocabulary)}
+        self.length = np.array([len(v) for v in self.vocabulary], dtype=int)
+        self.letters = np.zeros((len(self.vocabulary), 64), dtype="i2")
+        self.begins: dict[str, list[int]] = {}
+        self.parts_of: dict[str, list[int]] = {}
+        for i, v in enumerate(self.vocabulary):
+            self.letters[i] = self._counted(v)
+            self.begins.setdefault(v[:4], []).append(i)
+            for at in range(len(v) - 5):
+                self.parts_of.setdefault(v[at : at + 6], []).append(i)
+        self.sorted = sorted((v, i) for i, v in enumerate(self.vocabulary))
+
+    @staticmethod
+    def _counted(word: str) -> np.ndarray:
+        return np.bincount([ord(c) % 64 for c in word], minlength=64)
+
+    def _near(self, typed: str) -> set[int]:
+        """All words of the list that ``alike`` may give more than 0, and few others."""
+        short = typed.endswith(".")
+        typed = typed.rstrip(".")
+        found: set[int] = set()
+        if typed in self.number:
+            found.add(self.number[typed])
+        if short and len(typed) >= 2:
+            at = bisect_left(self.sorted, (typed, -1))
+            while at < len(self.sorted) and self.sorted[at][0].startswith(typed):
+                found.add(self.sorted[at][1])
+                at += 1
+        # each edit changes two counts of letters at most, and the length by one
+        most = _ALLOWED[np.minimum(np.maximum(self.length, len(typed)), 10)]
+        within = np.abs(self.length - len(typed)) <= most
+        at = np.flatnonzero(within & (most > 0))
+        at = at[np.abs(self.letters[at] - self._counted(typed)).sum(axis=1) <= 2 * most[at]]
+        found.update(at.tolist())
+        if len(typed) >= 4:
+            found.update(self.begins.get(typed[:4], ()))
+        for i in range(len(typed) - 5):
+            found.update(self.parts_of.get(typed[i : i + 6], ()))
+        return found
+
+    def _similar(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """(words of the list, how alike they are to a typed word), without those that aren't."""
         known = self._known.get(word)
         if known is None:
             if len(self._known) > 50_000:
                 self._known.clear()
-            expanded = self.initials.get(word.rstrip("."), ())
-            known = np.array([0.9 if v in expanded else alike(word, v) for v in self.vocabulary], dtype="f4")
-            self._known[word] = known
+            expanded = {self.number[v.rstrip(".")] for v in self.initials.get(word.rstrip("."), ()) if v.rstrip(".") in self.number}
+            met = sorted(self._near(word) | expanded)
+            values = np.array([0.9 if v in expanded else alike(word, self.vocabulary[v]) for v in met], dtype="f4")
+            known = self._known[word] = np.array(met, dtype=int)[values > 0], values[values > 0]
         return known
 
     def by_words(self, text: str) -> int | None:
         typed = list(dict.fromkeys(words(text)))
         if not typed or not self.refs:
             return None
-        similar = np.array([self._similar(w) for w in typed])
-        best = similar.max(axis=0)
-        aliases = (self.has * (self.weight * best)).sum(axis=1) / self.alias_weight
-        scores = np.zeros(len(self.refs))
-        np.maximum.at(scores, self.of_alias, aliases)
-        near = similar.argmax(axis=1)
-        weights = np.where(similar.max(axis=1) >= 0.5, self.weight[near], self.rare)
-        within = (similar[None, :, :] * self.entry_has[:, None, :]).max(axis=2)
-        scores = np.maximum(scores, 0.95 * (within * weights).sum(axis=1) / weights.sum())
+        best: dict[int, float] = {}
+        scores, within, weights = np.zeros(len(self.refs)), np.zeros(len(self.refs)), 0.0
+        for word in typed:
+            met, values = self._similar(word)
+            for v, value in zip(met.tolist(), values.tolist()):
+                best[v] = max(best.get(v, 0.0), value)
+            top = float(values.max()) if len(values) else 0.0
+            weight = self.weight[met[int(values.argmax())]] if top >= 0.5 else self.rare
+            own = np.zeros(len(self.refs))
+            for v, value in zip(met.tolist(), values.tolist()):
+                np.maximum.at(own, self.entry_of[v], value)
+            within += weight * own
+            weights += weight
+        held = np.zeros(len(self.aliases))
+        for v, value in best.items():
+            held[self.alias_of[v]] += self.weight[v] * value
+        np.maximum.at(scores, self.of_alias, held / self.alias_weight)
+        scores = np.maximum(scores, 0.95 * within / weights)
         order = np.argsort(-scores, kind="stable")
-        top = order[0]
-        if scores[top] < LEAST or len(order) > 1 and scores[top] - scores[order[1]] < MARGIN:
+        top_at = order[0]
+        if scores[top_at] < LEAST or len(order) > 1 and scores[top_at] - scores[order[1]] < MARGIN:
             return None
-        return int(top)
+        return int(top_at)
 
     def find(self, text: str) -> str | None:
         """The ref_id of a text, ``unmatched``, or None for a blank text."""
@@ -299,5 +364,7 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(refs, pa.string())], names=["field", "text", "ref_id"])
 
     kept = values.where(F.col("text").isNotNull())
-    found = kept.select("field", "text").distinct().mapInArrow(run, "field string, text string, ref_id string")
+    # few bytes and much work: spread by a fixed number of partitions
+    different = kept.select("field", "text").distinct().repartition(2 * width(values.sparkSession), "field", "text")
+    found = different.mapInArrow(run, "field string, text string, ref_id string")
     return kept.join(found.where(F.col("ref_id").isNotNull()), ["field", "text"])

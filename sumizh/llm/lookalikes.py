@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sumizh.session import width
+
 #: Scripts in which a run is spelled, the first one possible.
 SCRIPTS = ("Cyrillic", "Latin", "Greek", "Armenian")
 
@@ -240,7 +242,8 @@ def same_reading(left: DataFrame, left_id: str, left_text: str, right: DataFrame
 
     def forms(df: DataFrame, text: str) -> DataFrame:
         stored: Column = F.col(text)
-        texts = df.where(stored.isNotNull()).select(stored.alias("stored")).distinct()
+        # few bytes and much work: spread by a fixed number of partitions
+        texts = df.where(stored.isNotNull()).select(stored.alias("stored")).distinct().repartition(2 * width(df.sparkSession), "stored")
         return texts.withColumn("canonical", _canonical_once(F.col("stored")))
 
     a = forms(left, left_text).select(F.col("stored").alias("a_text"), "canonical")
