@@ -354,7 +354,9 @@ def count_tokens(df: DataFrame, text_column: str, path: str = TOKENIZER) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = transducer(path)
         for batch in batches:
-            counts = [coder.count(t) for t in batch.column(text_column).to_pylist()]
+            texts = batch.column(text_column).to_pylist()
+            of = {t: coder.count(t) for t in dict.fromkeys(texts)}  # repeated texts once
+            counts = [of[t] for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, "tokens"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("tokens", T.LongType())]))

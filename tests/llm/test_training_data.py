@@ -259,17 +259,31 @@ def test_mix(spark):
 
 
 def test_mix_is_systematic(spark):
-    """Copies are those of a running sum of expected copies along the texts in order of size."""
+    """Copies are those of a running sum of expected copies along the texts in order; classes have whole numbers of uses."""
     documents = spark.createDataFrame([(i, "a" if i % 3 else "b", "w " * (i + 1)) for i in range(60)], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
     texts = mix.usable_texts(documents, targets)
-    planned = {r.source: r for r in mix.plan(texts, targets).collect()}
-    chosen = {r.doc_id: r.copies for r in mix.choose(texts, mix.plan(texts, targets)).collect()}
-    ordered = texts.orderBy("source", "tokens", "hash").collect()
-    for source in "ab":
-        docs = [r.doc_id for r in ordered if r.source == source]
+    planned = mix.plan(texts, targets)
+    classes = {(r["source"], r["class"]): r for r in mix.strata(texts, planned).collect()}
+    chosen = {r.doc_id: r.copies for r in mix.choose(texts, planned).collect()}
+    by_class: dict = {}
+    for r in texts.withColumn("class", mix._class()).orderBy("source", F.desc("class"), "tokens", "hash").collect():
+        by_class.setdefault((r["source"], r["class"]), []).append(r.doc_id)
+    for key, docs in by_class.items():
         running = [sum(chosen.get(d, 0) for d in docs[: k + 1]) for k in range(len(docs))]
-        assert all(abs(n - planned[source].expected * (k + 1)) <= 1 for k, n in enumerate(running))
+        assert all(abs(n - classes[key].rate * (k + 1)) <= 1 for k, n in enumerate(running))
+        assert running[-1] == round(classes[key].rate * len(docs))
+    for source in "ab":
+        want = next(r.expected * r.tokens for r in planned.collect() if r.source == source)
+        assert abs(sum(r.tokens * chosen.get(r.doc_id, 0) for r in texts.where(F.col("source") == source).collect()) - want) <= 0.03 * want
+
+
+def test_a_text_too_long_for_its_part_is_left_to_shorter_ones(spark):
+    rows = [(i, "a", f"w{i} " * 10) for i in range(300)] + [(1000, "a", "long " * 4000)] + [(2000 + i, "b", f"v{i} " * 10) for i in range(100)]
+    documents = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in mix.shares(documents, targets).collect()}
+    assert abs(report["a"].actual_share - 0.5) < 0.01
 
 
 def test_mix_without_text(spark):
