@@ -365,6 +365,6 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
 
     kept = values.where(F.col("text").isNotNull())
     # few bytes and much work: spread by a fixed number of partitions
-    different = kept.select("field", "text").distinct().repartition(2 * width(values.sparkSession), "field", "text")
+    different = kept.select("field", "text").distinct().repartition(width(values.sparkSession), "field", "text")
     found = different.mapInArrow(run, "field string, text string, ref_id string")
     return kept.join(found.where(F.col("ref_id").isNotNull()), ["field", "text"])

@@ -243,7 +243,7 @@ def same_reading(left: DataFrame, left_id: str, left_text: str, right: DataFrame
     def forms(df: DataFrame, text: str) -> DataFrame:
         stored: Column = F.col(text)
         # few bytes and much work: spread by a fixed number of partitions
-        texts = df.where(stored.isNotNull()).select(stored.alias("stored")).distinct().repartition(2 * width(df.sparkSession), "stored")
+        texts = df.where(stored.isNotNull()).select(stored.alias("stored")).distinct().repartition(width(df.sparkSession), "stored")
         return texts.withColumn("canonical", _canonical_once(F.col("stored")))
 
     a = forms(left, left_text).select(F.col("stored").alias("a_text"), "canonical")
