@@ -51,3 +51,10 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
         ).otherwise(0),
     )
     return crossings % 2 == 1
+
+
+def from_segment(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """The distance of a point from the stretch between two others, which differ."""
+    along = ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / (F.pow(bx - ax, 2) + F.pow(by - ay, 2))
+    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    return F.sqrt(F.pow(x - ax - along * (bx - ax), 2) + F.pow(y - ay - along * (by - ay), 2))

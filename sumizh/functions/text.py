@@ -1,13 +1,15 @@
-"""Text expressions: lines of goals, names, hosts.  All but the last two stay on the JVM side."""
+"""Text expressions: lines of goals, names, hosts.  All but the last, a search for names, stay on the JVM side."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from sumizh.operators.ranking import global_rank
 
 #: What is stripped from the ends of a line.
 LINE_ENDS = " \t-•\r\n"
@@ -20,11 +22,11 @@ def goal_lines(goals: Column, least: int = 15) -> Column:
 
 
 def line_kind(line: Column) -> Column:
-    """strategic, operational or other, by how a line is numbered or begins."""
+    """strategic, operational or other, by how a line is numbered or begins; what is neither is strategic if it is long."""
     return (
-        F.when(F.length(line) > 80, "strategic")
-        .when(line.rlike(r"^[0-9]+\.[0-9]+"), "operational")
+        F.when(line.rlike(r"^[0-9]+\.[0-9]+"), "operational")
         .when(line.rlike(r"^(?:Стратегічна ціль|Ціль|[0-9]+\.)"), "strategic")
+        .when(F.length(line) > 80, "strategic")
         .otherwise("other")
     )
 
@@ -96,42 +98,74 @@ def programmes(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-#: Length from which a line is taken apart, and what a part must exceed.
-LONG, PART = 120, 20
-_MARKER = re.compile(r"(?<=\S)\s+(?=(?:Стратегічна ціль|Операційна ціль|Ціль|Завдання)\s*\d|\d{1,2}(?:\.\d{1,2})+\.?\s)")
-_CLAUSE = re.compile(r"[;•]\s*|(?<=[^\d\s])\.\s+")
-
-
-def expand_line(line: str) -> list[str]:
-    """A long line split at goal markers, its parts again; else into clauses, if at least two are of use."""
-    if len(line) <= LONG:
-        return [line]
-    parts = [p.strip() for p in _MARKER.split(line) if p.strip()]
-    if len(parts) > 1:
-        return [x for p in parts for x in expand_line(p)]
-    clauses = [c.strip() for c in _CLAUSE.split(line) if len(c.strip()) > PART]
-    return clauses if len(clauses) >= 2 else [line]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def expanded_lines(lines: pd.Series) -> pd.Series:
-    """Lines of a text with the long ones taken apart, which is recursive and so needs Python."""
-    return lines.map(lambda x: None if x is None else [part for line in x for part in expand_line(line)])
-
-
-@F.udtf(returnType=T.StructType([T.StructField("at", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("cue", T.StringType())]))
-class Mentions:
-    """(at, name, cue): names in a text that have a cue within so many characters; positions decide, so it is a table function."""
-
-    def eval(self, text: str, names: list, cues: list, window: int):
-        if not text:
-            return
-        low = text.lower()
-        for name in names or []:
-            at = low.find(name.lower())
-            while at >= 0:
-                near = low[max(0, at - window) : at + len(name) + window]
-                cue = next((c for c in cues if c.lower() in near), None)
-                if cue is not None:
-                    yield at + 1, name, cue
-                at = low.find(name.lower(), at + len(name))
+#: Length from which a line is taken apart, what a clause must exceed, and what a line must.
+LONG, CLAUSE, LEAST = 120, 20, 15
+# Words for a goal, before its number or letter, and what parts clauses.
+GOAL_WORDS = r"(?:Стратегічн[\p{L}\p{N}_]*\s+(?:ціль|напрям)|Основний напрям|Ціль)\s*[.:]?\s*[0-9A-CА-Яа-я]"
+CLAUSE_ENDS = r"\s+[-–—]\s+|;\s+"
+#: What is stripped from the ends of a part.
+PART_ENDS = " \t-•,"
+
+
+def expanded_lines(text: Column) -> Column:
+    """The lines of a text, long ones taken apart: at the words for a goal, else into clauses if two at least are of use.
+
+    A part that is still long is taken into clauses.  Only then are short lines left out.
+    """
+
+    def clauses(line: Column) -> Column:
+        parts = F.filter(F.transform(F.split(line, CLAUSE_ENDS), lambda x: F.btrim(x, F.lit(PART_ENDS))), lambda x: F.length(x) > CLAUSE)
+        return F.when((F.length(line) > LONG) & (F.size(parts) >= 2), parts).otherwise(F.array(line))
+
+    def expand(line: Column) -> Column:
+        marked = F.filter(F.split(line, f"(?iu)(?={GOAL_WORDS})"), lambda x: F.trim(x) != "")
+        parts = F.flatten(F.transform(marked, lambda x: clauses(F.btrim(x, F.lit(PART_ENDS)))))
+        return F.when((F.length(line) > LONG) & (F.size(marked) > 1), parts).otherwise(clauses(line))
+
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(LINE_ENDS))), lambda x: x != "")
+    return F.filter(F.flatten(F.transform(lines, expand)), lambda x: F.length(x) > LEAST)
+
+
+#: Names of a list in one automaton; a longer list is searched by as many as it needs.
+NAMES_AT_ONCE = 5_000
+
+
+def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, cues: Sequence[str], window: int) -> DataFrame:
+    """(key, at, name, cue): where a text has a name (name, low) of a list, with the first cue within so many characters.
+
+    The names are cut by rank into groups of ``NAMES_AT_ONCE``; each text is read once for
+    each group, by one automaton for all of its names, so that a list of any length is
+    searched whole.  A name's next mention begins after the end of the one before.
+    """
+    ranked = global_rank(names.distinct(), [F.col("low"), F.col("name")], "rank")
+    groups = ranked.groupBy(F.floor((F.col("rank") - 1) / NAMES_AT_ONCE).alias("part")).agg(F.collect_list(F.struct("name", "low")).alias("names"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, ahocorasick.Automaton] = {}
+        for f in frames:
+            out = []
+            for own, content, part, listed in zip(f[key], f[text], f["part"], f["names"]):
+                if part not in known:
+                    known.clear()
+                    of: dict[str, list[str]] = {}
+                    for x in listed:
+                        of.setdefault(x["low"], []).append(x["name"])
+                    known[part] = ahocorasick.Automaton()
+                    for low, same in of.items():
+                        known[part].add_word(low, (low, same))
+                    known[part].make_automaton()
+                free: dict[str, int] = {}
+                for end, (low, same) in known[part].iter(content):
+                    at = end - len(low) + 1
+                    if at < free.get(low, 0):
+                        continue
+                    free[low] = end + 1
+                    near = content[max(0, at - window) : end + 1 + window]
+                    cue = next((c for c in cues if c in near), None)
+                    if cue is not None:
+                        out += [(own, at + 1, name, cue) for name in same]
+            yield pd.DataFrame(out, columns=[key, "at", "name", "cue"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    # of groups, not names: one for each NAMES_AT_ONCE
+    return texts.crossJoin(groups).select(key, text, "part", "names").mapInPandas(run, f"{key} {kind}, at int, name string, cue string")

@@ -71,6 +71,9 @@ def search(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, l
                     keep = np.flatnonzero(r_ids != own)
                     if least is not None:
                         keep = keep[like[i, keep] >= least]
+                    if len(keep) > k:  # no less than the k-th value can be among the first
+                        at_k = np.partition(like[i, keep], len(keep) - k)[len(keep) - k]
+                        keep = keep[like[i, keep] >= at_k]
                     order = keep[np.lexsort((r_ids[keep], -like[i, keep]))][:k]
                     found += [(own, r_ids[j], like[i, j]) for j in order]
                 yield pd.DataFrame(found, columns=["query", "id", "similarity"]).astype({"query": "int64", "id": "int64", "similarity": "float64"})

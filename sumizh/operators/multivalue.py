@@ -53,8 +53,6 @@ SEPARATORS = {
     "tab": r"\t",
     "and": r"(?<=\s)(?:та|і|й|and|und|oraz)(?=\s)",
 }
-#: More kinds than this in one field are read all together, or without one or two of them.
-ALL_SUBSETS = 6
 #: Bits for a character of a value in the code book, for a dialect, and for a separator kind in it.
 SPELL, DIALECT, KIND = 5.0, 4.0, 2.0
 
@@ -172,8 +170,7 @@ class Reader:
 
     @staticmethod
     def _subsets(kinds: list[str]) -> Iterator[tuple[str, ...]]:
-        sizes = range(1, len(kinds) + 1) if len(kinds) <= ALL_SUBSETS else range(len(kinds) - 2, len(kinds) + 1)
-        for size in sizes:
+        for size in range(1, len(kinds) + 1):
             yield from itertools.combinations(kinds, size)
 
 

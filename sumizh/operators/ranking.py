@@ -29,13 +29,28 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     return ordered.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
-def nearest_rank(df: DataFrame, column: str, percent: float, ties: Sequence[Column] = ()) -> DataFrame:
-    """One row (value): the nearest-rank percentile, rank = round(percent / 100 * n), half to even, within 1..n."""
-    values = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).alias("value"), *ties)
-    ranked = global_rank(values.select("value"), [F.col("value")])
-    n = ranked.agg(F.count(F.lit(1)).alias("n"))
-    wanted = F.least(F.greatest(F.rint(F.lit(percent / 100.0) * F.col("n")).cast("bigint"), F.lit(1).cast("bigint")), F.col("n"))
-    return ranked.join(F.broadcast(n.select(wanted.alias("wanted"))), F.col("rank") == F.col("wanted")).select("value")
+#: Accuracy of the bracket in which an exact percentile is looked for.
+ACCURACY = 10_000
+
+
+def nearest_rank(df: DataFrame, column: str, percent: float) -> DataFrame:
+    """One row (value): the nearest-rank percentile, rank = round(percent / 100 * n), half to even, within 1..n.
+
+    An approximate percentile, whose error is bounded, gives a narrow bracket; values
+    below it are only counted, those within it are ranked.
+    """
+    values = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).alias("value"))
+    share, n = percent / 100.0, values.count()
+    wide = 4.0 / ACCURACY + 2.0 / max(n, 1)
+    bounds = values.agg(F.percentile_approx("value", [max(0.0, share - wide), min(1.0, share + wide)], ACCURACY).alias("p")).select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    wanted = F.lit(min(max(round(share * n), 1), n))
+    placed = values.crossJoin(F.broadcast(bounds.withColumn("wanted", wanted)))  # one row
+    below = placed.agg(F.count_if(F.col("value") < F.col("low")).alias("below"))
+    inside = placed.where((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))).groupBy("value", "wanted").agg(F.count(F.lit(1)).alias("times"))
+    ranked = global_rank(inside, [F.col("value")])
+    upto = F.sum("times").over(Window.orderBy("rank"))  # of a few in ten thousand of the rows, equal ones once
+    reached = ranked.crossJoin(F.broadcast(below)).withColumn("upto", F.col("below") + upto)  # one row
+    return reached.where(F.col("upto") >= F.col("wanted")).agg(F.min("value").alias("value"))
 
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], fields: Sequence[str]) -> DataFrame:

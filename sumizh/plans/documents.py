@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -161,10 +164,62 @@ def tfidf_cosine(spark: SparkSession, folder: str) -> DataFrame:
     """The five goals texts most like each query by TF-IDF; queries are ids divisible by 100, against all."""
     rows = table(spark, folder, "hromadas_full30").where(F.trim("goals") != "")
     vectors = cut(tfidf(rows, "id", "goals"))
-    queries = vectors.where("id % 100 = 0").select(F.col("id").alias("query"), "w", F.col("x").alias("qx"))
-    sums = queries.join(vectors, "w").where("query <> id").groupBy("query", "id").agg(F.round(F.sum(F.col("qx") * F.col("x")), 6).alias("similarity"))
+    return sparse_search(vectors.where("id % 100 = 0"), vectors, 5)
+
+
+#: Words of the queries that a block of queries holds about, and of the rows that one of rows does.
+ENTRIES = 200_000
+
+
+def _sparse_blocks(vectors: DataFrame, prefix: str) -> DataFrame:
+    """Vectors (id, w, x) packed by hash of the id into blocks of about ``ENTRIES`` words: (block, ids, words, values)."""
+    many = F.floor((F.col("_n") - 1) / ENTRIES) + 1
+    counted = vectors.crossJoin(F.broadcast(vectors.agg(F.count(F.lit(1)).alias("_n"))))  # one row
+    placed = counted.withColumn(f"{prefix}block", F.pmod(F.xxhash64("id"), many))
+    packed = placed.groupBy(f"{prefix}block").agg(F.collect_list(F.struct("id", F.xxhash64("w").alias("w"), "x")).alias("e"))
+    return packed.select(f"{prefix}block", *(F.col("e")[f].alias(f"{prefix}{f}") for f in ("id", "w", "x")))
+
+
+def sparse_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query, id, similarity, place): the ``k`` rows most like each query by the sum of products, those without a common word left out.
+
+    Blocks of queries meet blocks of rows; within a pair the words of the queries are an
+    inverted list that the rows are run through, and the best ``k`` of each query leave
+    it.  A common word is no key, so that it makes no task larger than others.
+    """
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for q_id, q_w, q_x, r_id, r_w, r_x in zip(*(f[c] for c in ("q_id", "q_w", "q_x", "r_id", "r_w", "r_x"))):
+                q_of, q_at = np.unique(q_id, return_inverse=True)
+                r_of, r_at = np.unique(r_id, return_inverse=True)
+                order = np.argsort(q_w, kind="stable")
+                words, w_at, x_at = q_w[order], q_at[order], q_x[order]
+                low, high = np.searchsorted(words, r_w, "left"), np.searchsorted(words, r_w, "right")
+                out = []
+                # rows a few at a time, so that the sums stay small
+                step = max(1, 4_000_000 // len(q_of))
+                by_row = np.argsort(r_at, kind="stable")
+                ends = np.searchsorted(r_at[by_row], np.arange(0, len(r_of) + step, step))
+                for part, (a, b) in enumerate(zip(ends, ends[1:])):
+                    at = by_row[a:b]
+                    at = at[high[at] > low[at]]
+                    n = high[at] - low[at]
+                    entry = np.repeat(low[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    first = part * step
+                    cell = (np.repeat(r_at[at], n) - first) * len(q_of) + w_at[entry]
+                    size = min(step, len(r_of) - first) * len(q_of)
+                    sums = np.bincount(cell, weights=np.repeat(r_x[at], n) * x_at[entry], minlength=size)
+                    met = np.flatnonzero(np.bincount(cell, minlength=size))
+                    out.append(pd.DataFrame({"query": q_of[met % len(q_of)], "id": r_of[first + met // len(q_of)], "similarity": np.round(sums[met], 6)}))
+                found = pd.concat(out)
+                found = found[found["query"] != found["id"]].sort_values(["query", "similarity", "id"], ascending=[True, False, True])
+                yield found.groupby("query").head(k)
+
+    # of blocks, not rows
+    best = _sparse_blocks(queries, "q_").crossJoin(_sparse_blocks(rows, "r_")).drop("q_block", "r_block").mapInPandas(multiply, "query bigint, id bigint, similarity double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return sums.withColumn("place", place).where("place <= 5")
+    return best.withColumn("place", place).where(F.col("place") <= k)
 
 
 @registry.add(
@@ -213,21 +268,52 @@ def agreements_by_theme(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
-@registry.add("expanded_lines")
+# every place where a part begins gets a mark, the inner words first, as places may follow each other
+_MARKED_SQL = """regexp_replace(regexp_replace(regexp_replace(line, '(ціль\\s*[.:]?\\s*[0-9a-cа-я])', chr(1) || '\\1', 'gi'),
+      '(стратегічн[\\p{L}\\p{N}_]*\\s+\\x01?(?:ціль|напрям)\\s*[.:]?\\s*[0-9a-cа-я])', chr(1) || '\\1', 'gi'), '(основний напрям\\s*[.:]?\\s*[0-9a-cа-я])', chr(1) || '\\1', 'gi')"""
+
+
+def _clauses_sql(line: str) -> str:
+    parts = f"list_filter(list_transform(string_split_regex({line}, '\\s+[-–—]\\s+|;\\s+'), lambda c: trim(c, ' ' || chr(9) || '-•,')), lambda c: length(c) > 20)"
+    return f"CASE WHEN length({line}) > 120 AND len({parts}) >= 2 THEN {parts} ELSE [{line}] END"
+
+
+@registry.add(
+    "expanded_lines",
+    f"""WITH raw AS (SELECT doc_id, unnest(kept) AS line, generate_subscripts(kept, 1) AS n FROM (
+      SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || '-•' || chr(13) || chr(10))), lambda x: x <> '') AS kept FROM documents WHERE text IS NOT NULL)),
+    marked AS (SELECT *, list_filter(string_split({_MARKED_SQL}, chr(1)), lambda x: trim(x) <> '') AS m FROM raw),
+    parts AS (SELECT doc_id, n, CASE WHEN length(line) > 120 AND len(m) > 1 THEN flatten(list_transform(m, lambda x: {_clauses_sql("trim(x, ' ' || chr(9) || '-•,')")})) ELSE {_clauses_sql("line")} END AS p FROM marked),
+    long AS (SELECT doc_id, list_filter(flatten(list(p ORDER BY n)), lambda x: length(x) > 15) AS lines FROM parts GROUP BY doc_id)
+    SELECT doc_id, CAST(generate_subscripts(lines, 1) AS INTEGER) AS pos, unnest(lines) AS line FROM long""",
+)
 def expanded_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of documents, long ones split at goal markers or into clauses."""
-    rows = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", X.expanded_lines(X.goal_lines(F.col("text"))).alias("lines"))
+    """Lines of documents, long ones split at the words for a goal or into clauses."""
+    rows = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", X.expanded_lines(F.col("text")).alias("lines"))
     return rows.select("doc_id", F.posexplode("lines").alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("pos"), "line")
 
 
-@registry.add("partner_mentions")
+_CUES = ("кошти", "завдяки", "програм", "project", "wymian")
+
+
+@registry.add(
+    "partner_mentions",
+    f"""WITH RECURSIVE n AS (SELECT program, lower(program) AS low FROM donor_programs WHERE program <> ''),
+    hits(doc_id, name, low, text, rest, pos) AS (
+      SELECT doc_id, program, low, lower(text), substr(lower(text), strpos(lower(text), low) + length(low)), strpos(lower(text), low) FROM documents JOIN n ON strpos(lower(text), low) > 0
+      UNION ALL SELECT doc_id, name, low, text, substr(rest, strpos(rest, low) + length(low)), length(text) - length(rest) + strpos(rest, low) FROM hits WHERE strpos(rest, low) > 0),
+    near AS (SELECT *, substr(text, greatest(pos - 40, 1), pos + length(low) + 40 - greatest(pos - 40, 1)) AS near FROM hits)
+    SELECT doc_id, CAST(pos AS INTEGER) AS "at", name, {"CASE " + " ".join(f"WHEN contains(near, '{c}') THEN '{c}'" for c in _CUES) + " END"} AS cue
+    FROM near WHERE {" OR ".join(f"contains(near, '{c}')" for c in _CUES)}""",
+)
 def partner_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """Known programmes that documents name, with a word for funding within forty characters."""
-    names = [r.program for r in table(spark, folder, "donor_programs").select("program").orderBy("program").limit(1000).collect()]  # a small fixed list
-    listed = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
-    cues = F.array(*(F.lit(c) for c in ("кошти", "завдяки", "програм", "project", "wymian")))
-    rows = table(spark, folder, "documents").select("doc_id", "text")
-    return rows.lateralJoin(X.Mentions(F.col("text").outer(), listed, cues, F.lit(40))).select("doc_id", "at", "name", "cue")
+    """Known programmes that documents name, with a word for funding within forty characters.
+
+    The list is a table and meets the documents as one: it is sent where its size allows, else spread.
+    """
+    names = table(spark, folder, "donor_programs").where("program <> ''").select(F.col("program").alias("name"), F.lower("program").alias("low"))
+    texts = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.lower("text").alias("text"))
+    return X.mentions(texts, "doc_id", "text", names, _CUES, 40)
 
 
 @registry.add(

@@ -75,8 +75,8 @@ def goal_lines(spark: SparkSession, folder: str) -> DataFrame:
 @registry.add(
     "line_kinds",
     f"""WITH {_LINES_SQL} SELECT row_id, pos,
-    CASE WHEN length(line) > 80 THEN 'strategic' WHEN regexp_matches(line, '^[0-9]+\\.[0-9]+') THEN 'operational'
-      WHEN regexp_matches(line, '^(?:Стратегічна ціль|Ціль|[0-9]+\\.)') THEN 'strategic' ELSE 'other' END AS kind,
+    CASE WHEN regexp_matches(line, '^[0-9]+\\.[0-9]+') THEN 'operational' WHEN regexp_matches(line, '^(?:Стратегічна ціль|Ціль|[0-9]+\\.)') THEN 'strategic'
+      WHEN length(line) > 80 THEN 'strategic' ELSE 'other' END AS kind,
     regexp_extract(line, '^(?:Стратегічна ціль |Ціль )?([0-9]+(?:\\.[0-9]+)?)', 1) AS num,
     regexp_extract(line, '^([0-9]+)\\.[0-9]+', 1) AS parent,
     trim(regexp_replace(line, '^(?:Стратегічна ціль|Ціль)?\\s*[0-9]+(?:\\.[0-9]+)*[.:)]?\\s*', '')) AS body FROM lines""",
@@ -241,12 +241,12 @@ def region_coverage(spark: SparkSession, folder: str) -> DataFrame:
 @registry.add(
     "growth_priority",
     """SELECT growth_id, name, oblast, pindegree, coalesce(oblastcorpusshare, 1.0) AS share_or_one, CAST(len(list_distinct(corpusneighbourcodes)) AS INTEGER) AS neighbours
-    FROM corpus_growth_priority ORDER BY corpuspinlinks DESC, pindegree DESC, coalesce(oblastcorpusshare, 1.0), growth_id LIMIT 40""",
+    FROM corpus_growth_priority ORDER BY corpuspinlinks DESC, pindegree DESC, coalesce(oblastcorpusshare, 1.0), name, growth_id LIMIT 40""",
 )
 def growth_priority(spark: SparkSession, folder: str) -> DataFrame:
     """The forty first entities to add: links, degree, then the lowest share of the region; no share counts as one."""
     rows = table(spark, folder, "corpus_growth_priority").withColumn("share_or_one", F.coalesce("oblastcorpusshare", F.lit(1.0)))
-    top = rows.orderBy(F.desc("corpuspinlinks"), F.desc("pindegree"), "share_or_one", "growth_id").limit(40)
+    top = rows.orderBy(F.desc("corpuspinlinks"), F.desc("pindegree"), "share_or_one", "name", "growth_id").limit(40)
     return top.select("growth_id", "name", "oblast", "pindegree", "share_or_one", F.size(F.array_distinct("corpusneighbourcodes")).alias("neighbours"))
 
 
@@ -350,14 +350,14 @@ def sector_histogram(spark: SparkSession, folder: str) -> DataFrame:
     "sector_totals",
     f"""WITH {LATEST_SQL}, counted AS (SELECT sector, count(*) AS n FROM (SELECT unnest(list_distinct(sectors)) AS sector FROM latest) GROUP BY sector),
     pinned AS (SELECT unnest(['Спадщина', 'Ремесла', 'Космос']) AS sector)
-    SELECT * FROM (SELECT sector, CAST(n AS BIGINT) AS n FROM counted ORDER BY n DESC, sector LIMIT 4)
+    SELECT * FROM (SELECT sector, CAST(n AS BIGINT) AS n FROM counted ORDER BY n DESC, sector LIMIT 16)
     UNION SELECT p.sector, CAST(coalesce(n, 0) AS BIGINT) FROM pinned p LEFT JOIN counted USING (sector)""",
 )
 def sector_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """The four commonest sectors, and three pinned ones even if nobody has them."""
+    """The sixteen commonest sectors, and three pinned ones even if nobody has them."""
     counted = latest_entities(spark, folder, "sectors").select(F.explode(F.array_distinct("sectors")).alias("sector")).groupBy("sector").agg(F.count(F.lit(1)).alias("n"))
     pinned = spark.createDataFrame([("Спадщина",), ("Ремесла",), ("Космос",)], "sector string")
-    top = counted.orderBy(F.desc("n"), "sector").limit(4)
+    top = counted.orderBy(F.desc("n"), "sector").limit(16)
     return top.union(pinned.join(counted, "sector", "left").select("sector", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))).distinct()
 
 

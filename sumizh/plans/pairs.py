@@ -118,7 +118,7 @@ def combined_score(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("edge_id", network.alias("network"), F.round(score, 3).alias("score"))
 
 
-_FLOOR_SQL = """ordered AS (SELECT goals_cosine AS v, row_number() OVER (ORDER BY goals_cosine) AS rn, count(*) OVER () AS n FROM known_curation_candidates WHERE NOT isnan(goals_cosine)),
+_FLOOR_SQL = """ordered AS (SELECT coalesce(goals_cosine, 0) AS v, row_number() OVER (ORDER BY coalesce(goals_cosine, 0)) AS rn, count(*) OVER () AS n FROM known_curation_candidates WHERE NOT isnan(coalesce(goals_cosine, 0))),
     floor_value AS (SELECT v AS fl FROM ordered WHERE rn = least(greatest(CAST(round_even(0.9 * n, 0) AS BIGINT), 1), n))"""
 _TRACK_SQL = f"""CASE WHEN goals_cosine >= fl AND geo_score <= {FAR} THEN 'thematic' WHEN geo_score >= {NEAR} THEN 'operational' ELSE 'mixed' END"""
 
@@ -126,7 +126,7 @@ _TRACK_SQL = f"""CASE WHEN goals_cosine >= fl AND geo_score <= {FAR} THEN 'thema
 def tracked(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates with the track that the 90th nearest-rank percentile and the distance give."""
     rows = table(spark, folder, "known_curation_candidates")
-    floor = nearest_rank(rows, "goals_cosine", 90.0).withColumnRenamed("value", "floor")
+    floor = nearest_rank(rows.withColumn("goals_cosine", F.coalesce("goals_cosine", F.lit(0.0))), "goals_cosine", 90.0).withColumnRenamed("value", "floor")
     track = F.when((F.col("goals_cosine") >= F.col("floor")) & (F.col("geo_score") <= FAR), "thematic").when(F.col("geo_score") >= NEAR, "operational").otherwise("mixed")
     return rows.drop("track").crossJoin(F.broadcast(floor)).withColumn("track", track)  # one row
 
@@ -149,13 +149,24 @@ def track_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.add(
     "thematic_slice",
-    f"WITH {_FLOOR_SQL} SELECT cand_id, goals_cosine, score FROM known_curation_candidates, floor_value WHERE {_TRACK_SQL} = 'thematic' ORDER BY goals_cosine DESC, score DESC, cand_id LIMIT {SLICE}",
+    f"WITH {_FLOOR_SQL} SELECT cand_id, goals_cosine, score FROM known_curation_candidates, floor_value WHERE {_TRACK_SQL} = 'thematic' AND status <> 'known' ORDER BY goals_cosine DESC, score DESC, cand_id LIMIT {SLICE}",
 )
 def thematic_slice(spark: SparkSession, folder: str) -> DataFrame:
-    rows = tracked(spark, folder).where("track = 'thematic'").orderBy(F.desc("goals_cosine"), F.desc("score"), "cand_id").limit(SLICE)
+    """The thematic candidates that aren't known, most alike first."""
+    rows = tracked(spark, folder).where("track = 'thematic' AND status <> 'known'").orderBy(F.desc("goals_cosine"), F.desc("score"), "cand_id").limit(SLICE)
     return rows.select("cand_id", "goals_cosine", "score")
 
 
+LINKED_SQL = """linked AS (SELECT DISTINCT least(katottg, code) AS x, greatest(katottg, code) AS y FROM (
+      SELECT katottg, unnest(corpusneighbourcodes) AS code FROM corpus_growth_priority WHERE katottg IS NOT NULL) WHERE katottg <> code AND katottg <> '' AND code <> '')"""
+
+
+def linked(spark: SparkSession, folder: str) -> DataFrame:
+    """(x, y), x < y, of the codes that the network of neighbours links."""
+    ends = table(spark, folder, "corpus_growth_priority").select("katottg", F.explode("corpusneighbourcodes").alias("code"))
+    return undirected(ends, "katottg", "code").select(F.col("a").alias("x"), F.col("b").alias("y"))
+
+
 _FISCAL_SQL = "CASE WHEN pa > 0 AND pb > 0 THEN greatest(0.0, 1 - log10(greatest(pa, pb)::DOUBLE / least(pa, pb))) END"
 
 
@@ -194,18 +205,27 @@ def sector_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return _with_sizes(spark, folder).select("cand_id", F.round(shared, 6).alias("shared"), F.round(F.coalesce(shared, F.lit(0.0)), 6).alias("shared_or_zero"))
 
 
-_OPERATIONAL_SQL = f"""CASE WHEN geo_score >= {NEAR} THEN round((0.5 * geo_score + coalesce(0.3 * sizes, 0) + coalesce(0.2 * shared, 0))
-    / (0.5 + CASE WHEN sizes IS NULL THEN 0 ELSE 0.3 END + CASE WHEN shared IS NULL THEN 0 ELSE 0.2 END), 3) END"""
+_OPERATIONAL_SQL = f"""CASE WHEN geo_score >= {NEAR} THEN round((0.55::DOUBLE * geo_score + coalesce(0.25::DOUBLE * sizes, 0) + coalesce(0.2::DOUBLE * shared, 0))
+    / (0.55::DOUBLE + CASE WHEN sizes IS NULL THEN 0 ELSE 0.25::DOUBLE END + CASE WHEN shared IS NULL THEN 0 ELSE 0.2::DOUBLE END), 3) END"""
 
 
 def operational(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates with the score of the near ones; parts that are missing leave their weight to the others."""
     sizes, shared = size_similarity(F.col("pa"), F.col("pb")), jaccard(F.col("sa"), F.col("sb"))
     rows = _with_sizes(spark, folder).withColumns({"sizes": sizes, "shared": shared})
-    part = lambda c, w: F.coalesce(F.lit(w) * F.col(c), F.lit(0.0))
-    weight = lambda c, w: F.when(F.col(c).isNull(), 0.0).otherwise(w)
-    score = (0.5 * F.col("geo_score") + part("sizes", 0.3) + part("shared", 0.2)) / (0.5 + weight("sizes", 0.3) + weight("shared", 0.2))
-    return rows.withColumn("operational_score", F.when(F.col("geo_score") >= NEAR, F.round(score, 3)))
+    return rows.withColumn("operational_score", near_score(F.col("geo_score"), F.col("sizes"), F.col("shared")))
+
+
+# Weights of place, size and shared sectors in the score of near pairs.
+PLACE, SIZES, SECTORS = 0.55, 0.25, 0.2
+
+
+def near_score(geo: Column, sizes: Column, shared: Column) -> Column:
+    """The score of a near pair, to three digits; null for one that isn't near."""
+    part = lambda c, w: F.coalesce(F.lit(w) * c, F.lit(0.0))
+    weight = lambda c, w: F.when(c.isNull(), 0.0).otherwise(w)
+    score = (PLACE * geo + part(sizes, SIZES) + part(shared, SECTORS)) / (PLACE + weight(sizes, SIZES) + weight(shared, SECTORS))
+    return F.when(geo >= NEAR, F.round(score, 3))
 
 
 @registry.add("operational_score", f"{_SIZES_SQL} SELECT cand_id, {_OPERATIONAL_SQL} AS operational_score FROM parts")
@@ -215,36 +235,42 @@ def operational_score(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.add(
     "operational_slice",
-    f"""{_SIZES_SQL}, scored AS (SELECT *, {_OPERATIONAL_SQL} AS op FROM parts)
+    f"""{_SIZES_SQL}, scored AS (SELECT *, {_OPERATIONAL_SQL} AS op FROM parts), {LINKED_SQL}
     SELECT cand_id, op AS operational_score, geo_score FROM scored WHERE geo_score >= {NEAR} AND status <> 'known'
+    AND NOT EXISTS (SELECT 1 FROM linked WHERE x = least(a_katottg, b_katottg) AND y = greatest(a_katottg, b_katottg))
     ORDER BY coalesce(op, score) DESC, geo_score DESC, cand_id LIMIT {SLICE}""",
 )
 def operational_slice(spark: SparkSession, folder: str) -> DataFrame:
-    """The best near candidates that aren't known."""
-    rows = operational(spark, folder).where((F.col("geo_score") >= NEAR) & (F.col("status") != "known"))
+    """The best near candidates that are neither known nor linked in the network."""
+    near = operational(spark, folder).where((F.col("geo_score") >= NEAR) & (F.col("status") != "known"))
+    rows = near.withColumns({"x": F.least("a_katottg", "b_katottg"), "y": F.greatest("a_katottg", "b_katottg")}).join(linked(spark, folder), ["x", "y"], "left_anti")
     return rows.orderBy(F.desc(F.coalesce("operational_score", "score")), F.desc("geo_score"), "cand_id").limit(SLICE).select("cand_id", "operational_score", "geo_score")
 
 
 @registry.add(
     "signals_primary",
     f"""WITH {_FLOOR_SQL}, s AS (SELECT cand_id, {_TRACK_SQL} AS track, list_filter([
-        {{'id': 'goals', 'strength': CASE WHEN goals_cosine >= 0.6 THEN 'high' WHEN goals_cosine >= 0.3 THEN 'medium' END}},
-        {{'id': 'place', 'strength': CASE WHEN geo_score >= 0.85 THEN 'high' WHEN geo_score >= 0.35 THEN 'medium' END}},
-        {{'id': 'whole', 'strength': CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' END}}], lambda x: x.strength IS NOT NULL) AS signals
+        {{'id': 'goals', 'strength': CASE WHEN goals_cosine > 0 OR {_TRACK_SQL} = 'thematic' THEN CASE WHEN goals_cosine >= 0.12 THEN 'high' WHEN goals_cosine >= 0.05 OR {_TRACK_SQL} = 'thematic' THEN 'medium' ELSE 'low' END END}},
+        {{'id': 'place', 'strength': CASE WHEN geo_score > 0 OR {_TRACK_SQL} = 'operational' THEN CASE WHEN geo_score >= 0.85 THEN 'high' WHEN geo_score >= 0.5 OR {_TRACK_SQL} = 'operational' THEN 'medium' ELSE 'low' END END}},
+        {{'id': 'whole', 'strength': CASE WHEN score > 0 THEN CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END END}}], lambda x: x.strength IS NOT NULL) AS signals
       FROM known_curation_candidates, floor_value)
-    SELECT cand_id, CAST(len(signals) AS INTEGER) AS n, array_to_string(list_transform(signals[1:2], lambda x: x.id || ':' || x.strength), ',') AS chips,
+    SELECT cand_id, CAST(len(signals) AS INTEGER) AS n, array_to_string(list_transform(signals[1:3], lambda x: x.id || ':' || x.strength), ',') AS chips,
     coalesce(CASE WHEN track = 'thematic' THEN 'goals' WHEN track = 'operational' THEN 'place' END, signals[1].id, 'none') AS first_signal FROM s""",
 )
 def signals_primary(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence of a candidate as a list of signals with strengths, the first of them, and the one to show."""
 
-    def signal(name: str, column: str, high: float, medium: float) -> Column:
-        strength = F.when(F.col(column) >= high, "high").when(F.col(column) >= medium, "medium")
-        return F.struct(F.lit(name).alias("id"), strength.alias("strength"))
+    rows = tracked(spark, folder)
+
+    def signal(name: str, column: str, high: float, medium: float, track: str) -> Column:
+        """What a measure says if it says anything; the track it makes counts as medium at least."""
+        of_track = F.col("track") == track
+        strength = F.when(F.col(column) >= high, "high").when((F.col(column) >= medium) | of_track, "medium").otherwise("low")
+        return F.struct(F.lit(name).alias("id"), F.when((F.col(column) > 0) | of_track, strength).alias("strength"))
 
-    signals = F.filter(F.array(signal("goals", "goals_cosine", 0.6, 0.3), signal("place", "geo_score", 0.85, 0.35), signal("whole", "score", 0.7, 0.4)), lambda s: s["strength"].isNotNull())
-    rows = tracked(spark, folder).select("cand_id", "track", signals.alias("signals"))
-    chips = F.array_join(F.transform(F.slice("signals", 1, 2), lambda s: F.concat(s["id"], F.lit(":"), s["strength"])), ",")
+    every = F.array(signal("goals", "goals_cosine", 0.12, 0.05, "thematic"), signal("place", "geo_score", 0.85, 0.5, "operational"), signal("whole", "score", 0.7, 0.4, ""))
+    rows = rows.select("cand_id", "track", F.filter(every, lambda s: s["strength"].isNotNull()).alias("signals"))
+    chips = F.array_join(F.transform(F.slice("signals", 1, 3), lambda s: F.concat(s["id"], F.lit(":"), s["strength"])), ",")
     by_track = F.when(F.col("track") == "thematic", "goals").when(F.col("track") == "operational", "place")
     return rows.select("cand_id", F.size("signals").alias("n"), chips.alias("chips"), F.coalesce(by_track, F.get("signals", F.lit(0))["id"], F.lit("none")).alias("first_signal"))
 
@@ -373,31 +399,65 @@ def recommend_policy(spark: SparkSession, folder: str) -> DataFrame:
     return rated.withColumn("place", place).where("place <= 5").select("seed", "policy", "cand_id", "partner", "agent", "place")
 
 
-@registry.add(
-    "complementary_match",
-    f"""WITH {LATEST_SQL}, need AS (SELECT katottg, oblast, unnest(list_distinct(sectors)) AS sector, len(list_distinct(sectors)) AS wants FROM latest WHERE row_id % 100 = 0),
-    offer AS (SELECT katottg, oblast, unnest(list_distinct(sectors)) AS sector FROM latest WHERE sourcequality = 'full-strategy'),
-    pairs AS (SELECT n.katottg AS need, o.katottg AS offer, any_value(n.oblast = o.oblast) AS same, count(*) AS hits, any_value(wants) AS wants
+# Weights of a sector by where it is told, the sum a pair must reach, and how the score grows with it.
+FULL, PARTIAL, FLOOR, GROWTH, SAME_REGION = 1.0, 0.85, 1.2, 0.4, 1.2
+#: Places of one need, and those of its own region at most; places of the slice.
+PLACES, OWN_PLACES, BEST = 12, 8, 400
+
+_COMPLEMENTARY_SQL = f"""{LATEST_SQL}, need AS (SELECT katottg, oblast, unnest(list_distinct(sectors)) AS sector FROM latest WHERE row_id % 100 = 0),
+    offer AS (SELECT katottg, oblast, unnest(list_distinct(sectors)) AS sector, CASE sourcequality WHEN 'full-strategy' THEN {FULL}::DOUBLE ELSE {PARTIAL}::DOUBLE END AS w FROM latest WHERE sourcequality IN ('full-strategy', 'partial')),
+    pairs AS (SELECT n.katottg AS need, o.katottg AS offer, any_value(n.oblast = o.oblast) AS same, count(*) AS hits, count(*) * any_value(w) AS total
       FROM need n JOIN offer o ON n.sector = o.sector AND n.katottg <> o.katottg GROUP BY 1, 2),
-    scored AS (SELECT *, round(least(1.0, (1 - exp(-0.4 * (hits + 0.5))) * CASE WHEN same THEN 1.2 ELSE 1.0 END), 6) AS score FROM pairs),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY need, same ORDER BY score DESC, offer) AS r, count(*) FILTER (same) OVER (PARTITION BY need) AS same_n FROM scored)
-    SELECT need, offer, same, CAST(hits AS BIGINT) AS hits, score FROM placed WHERE CASE WHEN same THEN r <= 8 ELSE r <= 12 - least(same_n, 8) END""",
-)
+    scored AS (SELECT *, round(least(1.0, (1 - exp(-{GROWTH}::DOUBLE * total)) * CASE WHEN same THEN {SAME_REGION}::DOUBLE ELSE 1.0 END), 3) AS score FROM pairs WHERE total >= {FLOOR}::DOUBLE),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY need, same ORDER BY score DESC, offer) AS r, count(*) FILTER (same) OVER (PARTITION BY need) AS same_n FROM scored),
+    chosen AS (SELECT need, offer, same, CAST(hits AS BIGINT) AS hits, score FROM placed WHERE CASE WHEN same THEN r <= {OWN_PLACES} ELSE r <= {PLACES} - least(same_n, {OWN_PLACES}) END)"""
+
+
+@registry.add("complementary_match", f"WITH {_COMPLEMENTARY_SQL} SELECT * FROM chosen")
 def complementary_match(spark: SparkSession, folder: str) -> DataFrame:
     """Offers for needs by shared sectors: up to eight of the same region, filled to twelve from others.
 
-    Needs are the query set of a search, the entities whose row is divisible by 100;
-    they meet all offers by sector, never by a product of the tables.
+    Needs are the query set of a search, the entities whose row is divisible by 100, and
+    meet all offers.  What a pair scores depends on the sectors of either side only, so
+    that sets of sectors meet, not entities: there are as many as a few sectors combine
+    to, whatever the number of entities.  Of the entities with one set in one region the
+    first few come into question; sets that can't come up to the last place are left out.
     """
-    rows = latest_entities(spark, folder, "row_id", "oblast", "sectors", "sourcequality").withColumn("sectors", F.array_distinct("sectors"))
-    need = rows.where("row_id % 100 = 0").select(F.col("katottg").alias("need"), F.col("oblast").alias("n_oblast"), F.explode("sectors").alias("sector"))
-    offer = rows.where("sourcequality = 'full-strategy'").select(F.col("katottg").alias("offer"), F.col("oblast").alias("o_oblast"), F.explode("sectors").alias("sector"))
-    same = F.first(F.col("n_oblast") == F.col("o_oblast"))
-    pairs = need.join(offer, "sector").where("need <> offer").groupBy("need", "offer").agg(same.alias("same"), F.count(F.lit(1)).alias("hits"))
-    score = F.least(F.lit(1.0), (1 - F.exp(-0.4 * (F.col("hits") + 0.5))) * F.when(F.col("same"), 1.2).otherwise(1.0))
-    scored = pairs.withColumn("score", F.round(score, 6))
+    rows = latest_entities(spark, folder, "row_id", "oblast", "sectors", "sourcequality").withColumn("set", F.array_sort(F.array_distinct("sectors"))).where("size(set) > 0")
+    need = rows.where("row_id % 100 = 0").select(F.col("katottg").alias("need"), F.col("oblast").alias("n_oblast"), F.col("set").alias("n_set"))
+    weight = F.when(F.col("sourcequality") == "full-strategy", FULL).otherwise(PARTIAL)
+    offer = rows.where(F.col("sourcequality").isin("full-strategy", "partial")).select(F.col("katottg").alias("offer"), F.col("oblast").alias("o_oblast"), F.col("set").alias("o_set"), weight.alias("w"))
+    of_set = ["o_set", "w", "o_oblast"]
+    # one more than the places, as an entity isn't its own partner
+    first = offer.withColumn("r", F.row_number().over(Window.partitionBy(*of_set).orderBy("offer"))).where(F.col("r") <= PLACES + 1).drop("r")
+    sizes = offer.groupBy(*of_set).agg(F.count(F.lit(1)).alias("n"))
+    sets = need.select("n_set").distinct().select("n_set", F.explode("n_set").alias("sector"))
+    offered = sizes.select("o_set", "w").distinct().select("o_set", "w", F.explode("o_set").alias("sector"))
+    hits = sets.join(offered, "sector").groupBy("n_set", "o_set", "w").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") * F.col("w") >= FLOOR)
+    rated = hits.withColumn("base", 1 - F.exp(-GROWTH * F.col("hits") * F.col("w"))).join(sizes, ["o_set", "w"])
+    better = Window.partitionBy("n_set", "o_oblast").orderBy(F.desc("base"))
+    upto = F.sum("n").over(better.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("n").over(Window.partitionBy("n_set", "o_oblast", "base"))
+    usable = rated.withColumn("sooner", upto).where(F.col("sooner") <= PLACES).select("n_set", *of_set, "hits", "base")
+    # by set and region the first few, then for each need
+    by_region = Window.partitionBy("n_set", "o_oblast").orderBy(F.desc(F.round("base", 3)), "offer")
+    few = usable.join(first, of_set).withColumn("r", F.row_number().over(by_region)).where(F.col("r") <= 4 * (PLACES + 1)).drop("r")
+    met = need.join(few, "n_set").where("need <> offer")
+    same = F.coalesce(F.col("n_oblast") == F.col("o_oblast"), F.lit(False))
+    score = F.round(F.least(F.lit(1.0), F.col("base") * F.when(same, SAME_REGION).otherwise(1.0)), 3)
+    scored = met.select("need", "offer", same.alias("same"), "hits", score.alias("score"))
     place = F.row_number().over(Window.partitionBy("need", "same").orderBy(F.desc("score"), "offer"))
-    near = scored.where("same").groupBy("need").agg(F.count(F.lit(1)).alias("near"))
-    placed = scored.withColumn("r", place).where("r <= 12").join(near, "need", "left")
-    most = F.when(F.col("same"), 8).otherwise(12 - F.least(F.coalesce("near", F.lit(0)), F.lit(8)))
-    return placed.where(F.col("r") <= most).select("need", "offer", "same", "hits", "score")
+    placed = scored.withColumn("r", place).where(F.col("r") <= F.when(F.col("same"), OWN_PLACES).otherwise(PLACES))
+    own = F.count_if(F.col("same")).over(Window.partitionBy("need"))  # twenty rows
+    return placed.withColumn("own", own).where(F.col("same") | (F.col("r") <= PLACES - F.col("own"))).select("need", "offer", "same", "hits", "score")
+
+
+@registry.add(
+    "complementary_slice",
+    f"""WITH {_COMPLEMENTARY_SQL}, best AS (SELECT least(need, offer) AS a, greatest(need, offer) AS b, max(score) AS score, bool_or(same) AS same, max(hits) AS hits FROM chosen GROUP BY 1, 2)
+    SELECT * FROM best ORDER BY score DESC, same DESC, hits DESC, a, b LIMIT {BEST}""",
+)
+def complementary_slice(spark: SparkSession, folder: str) -> DataFrame:
+    """The best complementary pairs, each once whichever end needs: by score, region and hits, then by codes."""
+    rows = complementary_match(spark, folder).groupBy(F.least("need", "offer").alias("a"), F.greatest("need", "offer").alias("b"))
+    best = rows.agg(F.max("score").alias("score"), F.bool_or("same").alias("same"), F.max("hits").alias("hits"))
+    return best.orderBy(F.desc("score"), F.desc("same"), F.desc("hits"), "a", "b").limit(BEST)

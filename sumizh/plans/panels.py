@@ -78,13 +78,13 @@ def supplier_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.add(
     "order_histograms",
-    """SELECT o_orderpriority AS priority, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS n, CAST(least(count(DISTINCT o_custkey), 500) AS BIGINT) AS customers_capped
+    """SELECT o_orderpriority AS priority, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers
     FROM orders GROUP BY 1, 2""",
 )
 def order_histograms(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts by category and year, one of them capped for display."""
+    """Counts by category and year."""
     rows = table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("year"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.least(F.count_distinct("o_custkey"), F.lit(500)).cast("bigint").alias("customers_capped"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"))
 
 
 @registry.add(
@@ -184,23 +184,51 @@ def degree_share(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("degree", "nodes", F.round(F.col("nodes") / F.sum("nodes").over(Window.partitionBy()), 4).alias("share"))  # six rows
 
 
+# Polygons by their corners; the second lies apart from the first, with a gap between them.
+AREAS = (("west", ((-1.0, -1.0), (3.5, -1.0), (3.5, 4.0), (-1.0, 8.5))), ("south", ((4.0, -1.0), (9.0, -1.0), (4.0, 4.0))))
+#: Side of a cell of the grid that points and polygons meet by.
+CELL = 1.0
+_RINGS_SQL = ", ".join(f"('{n}', {', '.join(map(str, a))}, {', '.join(map(str, b))})" for n, r in AREAS for a, b in zip(r, r[1:] + r[:1]))
+
+
 @registry.add(
     "point_in_polygon",
-    """WITH p AS (SELECT row_id, CAST(substr(katottg, 7, 4) AS DOUBLE) % 800 / 100 AS x, CAST(substr(katottg, 11, 4) AS DOUBLE) % 800 / 100 AS y FROM hromadas)
-    SELECT row_id, CASE WHEN x + y < 8 AND x < 4 THEN 'west' WHEN x + y < 8 THEN 'south' ELSE 'none' END AS area FROM p WHERE x + y <> 8""",
+    f"""WITH p AS (SELECT row_id, CAST(substr(katottg, 7, 4) AS DOUBLE) % 800 / 100 AS x, CAST(substr(katottg, 11, 4) AS DOUBLE) % 800 / 100 AS y FROM hromadas WHERE length(katottg) >= 14),
+    edge(area, ax, ay, bx, by) AS (SELECT * FROM (VALUES {_RINGS_SQL}) v),
+    met AS (SELECT row_id, area, sum(CASE WHEN (ay > y) <> (by > y) AND x < (bx - ax) * (y - ay) / (by - ay) + ax THEN 1 ELSE 0 END) % 2 = 1 AS inside,
+      min(sqrt(pow(x - ax - greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / (pow(bx - ax, 2) + pow(by - ay, 2)))) * (bx - ax), 2)
+        + pow(y - ay - greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / (pow(bx - ax, 2) + pow(by - ay, 2)))) * (by - ay), 2))) AS away FROM p, edge GROUP BY row_id, area)
+    SELECT row_id, min_by(area, (CASE WHEN inside THEN 0 ELSE round(away, 9) END, area)) AS area, CASE WHEN bool_or(inside) THEN 'inside' ELSE 'nearest' END AS how FROM met GROUP BY row_id""",
 )
 def point_in_polygon(spark: SparkSession, folder: str) -> DataFrame:
-    """The polygon that holds each point; boxes first, then the ring itself."""
+    """The polygon that holds each point, else the nearest one.
+
+    Points meet polygons by the cells of a grid; only those that no cell settles are
+    measured against all edges of the polygons, which are few and given here.  A point on
+    an edge counts by the rule of crossings.
+    """
     code = F.col("katottg")
-    points = table(spark, folder, "hromadas").select(
+    points = table(spark, folder, "hromadas").where(F.length(code) >= 14).select(
         "row_id", (F.substring(code, 7, 4).cast("double") % 800 / 100).alias("x"), (F.substring(code, 11, 4).cast("double") % 800 / 100).alias("y")
     )
-    rings = [("west", [(-1.0, -1.0), (4.0, -1.0), (4.0, 4.0), (-1.0, 9.0)]), ("south", [(4.0, -1.0), (9.0, -1.0), (4.0, 4.0)])]
-    areas = spark.createDataFrame([(n, [dict(x=x, y=y) for x, y in r]) for n, r in rings], "area string, ring array<struct<x:double,y:double>>")
-    boxed = areas.withColumns({
-        "x0": F.array_min(F.transform("ring", lambda c: c["x"])), "x1": F.array_max(F.transform("ring", lambda c: c["x"])),
-        "y0": F.array_min(F.transform("ring", lambda c: c["y"])), "y1": F.array_max(F.transform("ring", lambda c: c["y"])),
-    })
-    # two polygons, given here
-    inside = points.join(F.broadcast(boxed), F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")) & G.in_ring(F.col("x"), F.col("y"), F.col("ring")), "left")
-    return inside.where("x + y <> 8").groupBy("row_id").agg(F.coalesce(F.max("area"), F.lit("none")).alias("area"))
+    areas = spark.createDataFrame([(n, [dict(x=x, y=y) for x, y in r]) for n, r in AREAS], "area string, ring array<struct<x:double,y:double>>")
+    return nearest_area(points, areas, "row_id")
+
+
+def nearest_area(points: DataFrame, areas: DataFrame, key: str) -> DataFrame:
+    """(key, area, how): for each point (key, x, y) the polygon (area, ring) that holds it, or the nearest; the first by name if several."""
+    cell = lambda c: F.floor(c / CELL).cast("int")
+    ends = {f"{e}{c}": f(F.col("ring")[c]) for c in "xy" for e, f in (("low_", F.array_min), ("high_", F.array_max))}
+    boxed = areas.withColumns(ends)
+    spread = lambda c: F.explode(F.sequence(cell(F.col(f"low_{c}")), cell(F.col(f"high_{c}"))))
+    gridded = boxed.withColumn("cx", spread("x")).withColumn("cy", spread("y")).select("area", "ring", "cx", "cy")
+    placed = points.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
+    inside = placed.join(gridded, ["cx", "cy"]).where(G.in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy(key).agg(F.min("area").alias("area"))
+    left = points.join(inside.select(key), key, "left_anti")
+    edges = areas.select("area", F.posexplode("ring").alias("at", "a"), "ring").select("area", "a", F.element_at("ring", ((F.col("at") + 1) % F.size("ring") + 1).cast("int")).alias("b"))
+    away = G.from_segment(F.col("x"), F.col("y"), F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
+    # the edges of all polygons are one array in one row
+    every = edges.agg(F.collect_list(F.struct("area", "a", "b")).alias("edges"))
+    near = left.crossJoin(F.broadcast(every)).select(key, "x", "y", F.explode("edges").alias("e")).select(key, "x", "y", "e.*")
+    nearest = near.withColumn("away", F.round(away, 9)).groupBy(key).agg(F.min(F.struct("away", "area")).alias("m")).select(key, "m.area")
+    return inside.withColumn("how", F.lit("inside")).unionByName(nearest.withColumn("how", F.lit("nearest")))

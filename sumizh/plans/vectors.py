@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumizh.functions import vectors as V
-from sumizh.operators.alignment import align_pairs, pack
+from sumizh.operators.alignment import owner_similarity, sharing_owners, weight_of
 from sumizh.plans.registry import registry
 from sumizh.sources.tables import table
 
@@ -60,37 +60,83 @@ def mean_centered_pairs(spark: SparkSession, folder: str) -> DataFrame:
 )
 def doc_frequency_weight(spark: SparkSession, folder: str) -> DataFrame:
     """How many other owners have a line like each query, and the weight that follows."""
-    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
-    return frequency_weights(rows.where("vec_id % 100 = 0"), rows)
+    lines = _lines(table(spark, folder, "embeddings"))
+    queries = lines.where("id % 100 = 0")
+    counted = queries.select("id").join(sharing_owners(queries, lines, SHARED), "id", "left").select(F.col("id").alias("query"), F.coalesce("df", F.lit(0)).alias("df"))
+    return counted.withColumn("weight", F.round(weight_of(F.col("df")), 6))
 
 
-def frequency_weights(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query, df, weight) of ``lines`` among ``rows`` (vec_id, embedding, label)."""
-    near = V.search(lines, rows, "vec_id", "embedding", 1 << 30, SHARED)
-    owners = rows.select(F.col("vec_id").alias("id"), F.col("label").alias("other"))
-    queries = lines.select(F.col("vec_id").alias("query"), "label")
-    counted = queries.join(near.join(owners, "id"), "query", "left").groupBy("query").agg(
-        F.count_distinct(F.when(F.col("other") != F.col("label"), F.col("other"))).alias("df")
-    )
-    return counted.withColumn("weight", F.round(1 / (1 + F.log1p(F.greatest(F.col("df") - 2, F.lit(0)).cast("double"))), 6))
+def _lines(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("vec_id").alias("id"), F.col("label").alias("owner"), F.col("embedding").alias("v"))
+
+
+# Parts of the operational and the strategic lines where both owners have both.
+OPERATIONAL, STRATEGIC = 0.65, 0.35
+
 
+def _aligned_sql(name: str, condition: str) -> str:
+    """The similarity of every two owners over the lines that a condition keeps, as tables ending in ``name``."""
+    cosine = "list_cosine_similarity(p.v, q.v)"
+    return f"""{name}_raw AS (SELECT vec_id AS id, label AS owner, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE {condition}),
+    {name}_mean AS (SELECT list(m ORDER BY pos) AS m FROM (SELECT pos, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM {name}_raw) GROUP BY pos)),
+    {name}_off AS (SELECT id, owner, list_transform(list_zip(v, m), lambda z: z[1] - z[2]) AS v FROM {name}_raw, {name}_mean),
+    {name}_unit AS (SELECT id, owner, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-8)) AS v FROM {name}_off),
+    {name}_df AS (SELECT p.id, count(DISTINCT q.owner) AS df FROM {name}_raw p JOIN {name}_raw q ON p.owner <> q.owner AND round({cosine}, 6) >= 0.9 GROUP BY p.id),
+    {name}_w AS (SELECT u.*, 1 / (1 + ln(1 + greatest(coalesce(df, 0) - 2, 0))) AS w FROM {name}_unit u LEFT JOIN {name}_df USING (id)),
+    {name}_n AS (SELECT owner, count(*) AS n FROM {name}_raw GROUP BY owner),
+    {name}_best AS (SELECT p.id, p.owner, q.owner AS other, any_value(p.w) AS w, max(list_dot_product(p.v, q.v)) AS best FROM {name}_w p JOIN {name}_w q ON p.owner <> q.owner GROUP BY 1, 2, 3),
+    {name}_top AS (SELECT b.*, row_number() OVER (PARTITION BY b.owner, other ORDER BY round(best, 9) DESC, id) AS r, least(x.n, y.n) AS k FROM {name}_best b JOIN {name}_n x ON x.owner = b.owner JOIN {name}_n y ON y.owner = other),
+    {name}_side AS (SELECT owner, other, sum(best * w) / sum(w) AS aligned FROM {name}_top WHERE r <= k GROUP BY 1, 2),
+    {name}_pair AS (SELECT least(owner, other) AS a, greatest(owner, other) AS b, avg(aligned) AS aligned FROM {name}_side GROUP BY 1, 2),
+    {name}_mid AS (SELECT owner, list(x ORDER BY pos) AS v FROM (SELECT owner, pos, sum(x * w) / sum(w) AS x FROM (SELECT owner, w, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM {name}_w) GROUP BY 1, 2) GROUP BY 1),
+    {name} AS (SELECT a, b, round(greatest(0, 0.65 * aligned + 0.35 * list_cosine_similarity(x.v, y.v)), 6) AS similarity FROM {name}_pair JOIN {name}_mid x ON x.owner = a JOIN {name}_mid y ON y.owner = b)"""
 
-@registry.add("bipartite_centroid_blend")
-def bipartite_centroid_blend(spark: SparkSession, folder: str) -> DataFrame:
+
+@registry.add("owner_blend", f"WITH {_aligned_sql('whole', 'TRUE')} SELECT * FROM whole")
+def owner_blend(spark: SparkSession, folder: str) -> DataFrame:
     """Similarity of all owners (labels) by their centred lines, weighted by how few owners share them, and centroids."""
-    return owner_blend(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+    return owner_similarity(_lines(table(spark, folder, "embeddings")))
 
 
-def owner_blend(rows: DataFrame) -> DataFrame:
-    """(a, b, similarity), a < b, of every two owners of ``rows`` (vec_id, embedding, label)."""
-    centred = rows.crossJoin(F.broadcast(V.mean_vector(rows, "embedding"))).select(  # one row
-        "vec_id", "label", F.zip_with("embedding", "mean", lambda x, m: x.cast("double") - m).alias("embedding")
-    )
-    weights = frequency_weights(centred, centred).select(F.col("query").alias("vec_id"), F.col("weight").alias("w"))
-    lines = centred.select("vec_id", "label", F.col("embedding").cast("array<float>").alias("embedding")).join(weights, "vec_id")
-    owners = rows.select("label").distinct()
-    pairs = owners.select(F.col("label").alias("a")).join(owners.select(F.col("label").alias("b")), F.col("a") < F.col("b"))
-    return align_pairs(pack(lines, "label", "embedding", "w"), pairs, "label")
+@registry.add(
+    "goals_similarity",
+    f"""WITH {_aligned_sql("whole", "TRUE")}, {_aligned_sql("ops", "vec_id % 3 = 0 AND label <> 9")}, {_aligned_sql("strat", "vec_id % 3 = 1 AND label <> 8")}
+    SELECT w.a, w.b, CASE WHEN o.a IS NOT NULL AND s.a IS NOT NULL THEN round(0.65 * o.similarity + 0.35 * s.similarity, 6) WHEN o.a IS NOT NULL THEN o.similarity ELSE w.similarity END AS similarity,
+    CASE WHEN o.a IS NOT NULL AND s.a IS NOT NULL THEN 'both' WHEN o.a IS NOT NULL THEN 'operational' ELSE 'all' END AS lines
+    FROM whole w LEFT JOIN ops o USING (a, b) LEFT JOIN strat s USING (a, b)""",
+)
+def goals_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    """Similarity of owners by their operational and strategic lines where both have both, else by operational or by all.
+
+    The vectors have no kind of line; every third is taken as operational, every third as
+    strategic, and two owners lack one kind each.
+    """
+    rows = table(spark, folder, "embeddings")
+    return line_kinds_blend(_lines(rows), _lines(rows.where("vec_id % 3 = 0 AND label <> 9")), _lines(rows.where("vec_id % 3 = 1 AND label <> 8")))
+
+
+def line_kinds_blend(every: DataFrame, operational: DataFrame, strategic: DataFrame) -> DataFrame:
+    """(a, b, similarity, lines) of every two owners of ``every``, from three sets of lines (id, owner, v)."""
+    ops = owner_similarity(operational).withColumnRenamed("similarity", "ops")
+    strat = owner_similarity(strategic).withColumnRenamed("similarity", "strat")
+    joined = owner_similarity(every).join(ops, ["a", "b"], "left").join(strat, ["a", "b"], "left")
+    has_ops, has_strat = F.col("ops").isNotNull(), F.col("strat").isNotNull()
+    both = F.round(OPERATIONAL * F.col("ops") + STRATEGIC * F.col("strat"), 6)
+    return joined.select(
+        "a", "b", F.when(has_ops & has_strat, both).otherwise(F.coalesce("ops", "similarity")).alias("similarity"),
+        F.when(has_ops & has_strat, "both").when(has_ops, "operational").otherwise("all").alias("lines"),
+    )
+
+
+@registry.add(
+    "owner_distinctness",
+    f"""WITH {_aligned_sql('whole', 'TRUE')}, ends AS (SELECT a AS owner, similarity FROM whole UNION ALL SELECT b, similarity FROM whole)
+    SELECT owner, round(avg(similarity), 6) AS mean_similarity, CAST(count(*) AS BIGINT) AS others FROM ends GROUP BY owner""",
+)
+def owner_distinctness(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean similarity of each owner to all others; the lower, the more distinct."""
+    ends = owner_blend(spark, folder).select(F.explode(F.array("a", "b")).alias("owner"), "similarity")
+    return ends.groupBy("owner").agg(F.round(F.avg("similarity"), 6).alias("mean_similarity"), F.count(F.lit(1)).alias("others"))
 
 
 @registry.add(

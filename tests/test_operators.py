@@ -13,7 +13,7 @@ from sumizh.functions import geo
 from sumizh.functions import text as X
 from sumizh.functions import vectors as V
 from sumizh.functions.names import resolve, sequence_ratio, stems, transcribe
-from sumizh.operators.alignment import align, align_pairs, pack
+from sumizh.operators import alignment as A
 from sumizh.operators.graph import components, triangles
 from sumizh.operators.multivalue import Reader, split_values
 from sumizh.operators.ranking import first_of, global_rank, nearest_rank
@@ -125,38 +125,80 @@ def test_search(spark):
         assert [r.id for r in sorted((r for r in found if r["query"] == q), key=lambda r: r.place)] == order
 
 
-def test_alignment(spark):
-    e = np.eye(8)
-    one = np.ones
-    assert align(e[:2], one(2), e[:2], one(2)) > 0.99
-    assert align(e[:0], one(0), e[:2], one(2)) == 0.0
-    focused, hub = align(e[:2], one(2), e[:2], one(2)), align(e[:2], one(2), e[[0, 4, 5, 6]], one(4))
-    assert focused > hub
-    rows = spark.createDataFrame([(i, i // 2, [float(x) for x in e[i]], 1.0) for i in range(6)], "vec_id long, label int, embedding array<float>, w double")
-    pairs = spark.createDataFrame([(0, 1), (1, 2)], "a int, b int")
-    assert align_pairs(pack(rows, "label", "embedding", "w"), pairs, "label").count() == 2
+def _blend(x: list[np.ndarray], shared: float = 0.9) -> dict[tuple[int, int], float]:
+    """The similarity of every two owners, given their lines, written down plainly."""
+    owner = np.repeat(range(len(x)), [len(m) for m in x])
+    raw = np.concatenate(x)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-8)
+    v, like = unit(raw - raw.mean(axis=0)), unit(raw) @ unit(raw).T
+    w = np.array([1 / (1 + math.log1p(max(len({owner[j] for j in np.flatnonzero(like[i] >= shared)} - {owner[i]}) - 2, 0))) for i in range(len(raw))])
+    found = {}
+    for a in range(len(x)):
+        for b in range(a + 1, len(x)):
+            p, q = owner == a, owner == b
+            m, k = v[p] @ v[q].T, min(p.sum(), q.sum())
+            side = lambda best, u: np.average(np.sort(best)[::-1][:k], weights=u[np.argsort(-best, kind="stable")][:k])
+            aligned = (side(m.max(axis=1), w[p]) + side(m.max(axis=0), w[q])) / 2
+            centre = unit(np.average(v[p], axis=0, weights=w[p])) @ unit(np.average(v[q], axis=0, weights=w[q]))
+            found[a, b] = max(0.0, 0.65 * aligned + 0.35 * centre)
+    return found
+
+
+def _owners(spark, x: list[np.ndarray], numbers: list[int]):
+    rows = [(100 * n + i, n, [float(c) for c in v]) for n, m in zip(numbers, x) for i, v in enumerate(m)]
+    return spark.createDataFrame(rows, "id bigint, owner int, v array<double>")
+
+
+def test_owner_similarity(spark, monkeypatch):
+    """Owners far apart in number meet, lines in many blocks do too, shared lines weigh less, the mean is taken off first."""
+    rnd = np.random.default_rng(4)
+    x = [rnd.normal(size=(n, 6)) + 1.0 for n in (1, 3, 8, 20, 5, 2)]
+    for m in x[1:]:
+        m[0] = x[0][0] + 0.001 * rnd.normal(size=6)
+    numbers = [0, 1, 2, 13, 30, 47]
+    monkeypatch.setattr(A, "BLOCK", 7)
+    found = {(r.a, r.b): r.similarity for r in A.owner_similarity(_owners(spark, x, numbers)).collect()}
+    wanted = {(numbers[a], numbers[b]): v for (a, b), v in _blend(x).items()}
+    assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-5 for k in wanted)
 
 
-def test_owner_blend_weighs_centred_lines(spark):
-    """Owners far apart in number meet; lines that many owners share weigh less; the mean is taken off first."""
-    from sumizh.plans.vectors import owner_blend
+def test_focused_owners_are_more_alike_than_broad_ones(spark):
+    e = np.linalg.qr(np.random.default_rng(0).normal(size=(8, 8)))[0]
+    focused = [np.stack([e[0], 0.9 * e[0] + 0.1 * e[1]]), np.stack([e[0], 0.85 * e[0] + 0.15 * e[2]])]
+    broad = [e[:6], np.stack([e[(i + 1) % 8] for i in range(6)])]
+    found = {(r.a, r.b): r.similarity for r in A.owner_similarity(_owners(spark, focused + broad, [0, 1, 2, 3])).collect()}
+    assert found[0, 1] > 0.2 and found[0, 1] > found[2, 3]
 
-    rnd = np.random.default_rng(4)
-    x = rnd.normal(size=(18, 6)) + 1.5
-    x[::3] = x[0] + 0.01 * rnd.normal(size=(6, 6))
-    labels = [0, 1, 2, 5, 30, 47]
-    rows = [(i, [float(np.float32(v)) for v in x[i]], labels[i // 3]) for i in range(18)]
-    found = {(r.a, r.b): r.similarity for r in owner_blend(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
-    v = np.array([r[1] for r in rows])
-    v = v - v.mean(axis=0)
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    shared = [{rows[j][2] for j in np.flatnonzero(u @ u[i] >= 0.2) if rows[j][2] != rows[i][2]} for i in range(18)]
-    w = np.array([1 / (1 + math.log1p(max(len(s) - 2, 0))) for s in shared])
-    assert w.min() < 1.0
-    own = {o: slice(3 * k, 3 * k + 3) for k, o in enumerate(labels)}
-    wanted = {(a, b): align(v[own[a]], w[own[a]], v[own[b]], w[own[b]]) for a in labels for b in labels if a < b}
-    assert found.keys() == wanted.keys()
-    assert all(abs(found[k] - wanted[k]) < 1e-4 for k in wanted)
+
+def test_kinds_of_lines_are_blended(spark):
+    """.65 of the operational and .35 of the strategic where both owners have both; the operational alone; else all lines."""
+    from sumizh.plans.vectors import line_kinds_blend
+
+    rnd = np.random.default_rng(2)
+    sets = [_owners(spark, [rnd.normal(size=(4, 5)) for _ in n], n) for n in ([1, 2, 3, 4], [1, 2, 3], [1, 2])]
+    of = lambda d: {(r.a, r.b): r.similarity for r in A.owner_similarity(d).collect()}
+    every, ops, strat = map(of, sets)
+    found = {(r.a, r.b): (r.similarity, r.lines) for r in line_kinds_blend(*sets).collect()}
+    assert found[1, 2] == (pytest.approx(0.65 * ops[1, 2] + 0.35 * strat[1, 2], abs=1e-6), "both")
+    assert found[1, 3] == (ops[1, 3], "operational") and found[3, 4] == (every[3, 4], "all") and len(found) == 6
+
+
+def test_near_score_by_hand(spark):
+    from sumizh.plans.pairs import near_score
+
+    cases = [(1.0, 0.5, 0.25, round(0.55 + 0.125 + 0.05, 3)), (0.9, None, None, 0.9), (0.9, 0.5, None, round((0.55 * 0.9 + 0.125) / 0.8, 3)), (0.8, 1.0, 1.0, None)]
+    rows = spark.createDataFrame(cases, "geo double, sizes double, shared double, wanted double")
+    assert all(r.found == r.wanted for r in rows.select("wanted", near_score(F.col("geo"), F.col("sizes"), F.col("shared")).alias("found")).collect())
+
+
+def test_nearest_rank_by_hand(spark):
+    from sumizh.operators.ranking import nearest_rank
+
+    rnd = np.random.default_rng(8)
+    for values in ([3.0], [1.0, 2.0, 2.0, 9.0, 10.0], list(np.round(rnd.normal(size=5001), 3))):
+        ordered = sorted(values)
+        wanted = ordered[min(max(round(0.9 * len(values)), 1), len(values)) - 1]
+        assert [r.value for r in nearest_rank(spark.createDataFrame([(v,) for v in map(float, values)], "x double"), "x", 90.0).collect()] == [wanted]
 
 
 def test_name_order_is_whole(spark, monkeypatch):
@@ -206,18 +248,30 @@ def test_names(spark):
 
 
 def test_long_lines(spark):
-    line = "Стратегічна ціль 1: " + "розвиток сільських клубів і бібліотек, " * 3 + " Ціль 2: ремонт дахів у школах громади 2.1. Утеплення стін у ліцеї"
-    parts = X.expand_line(line)
-    assert len(parts) == 3 and parts[1].startswith("Ціль 2") and parts[2].startswith("2.1.")
-    assert X.expand_line("short; line") == ["short; line"]
-    assert X.expand_line("a" * 200) == ["a" * 200]
-    clauses = X.expand_line("перша довга частина рядка без цифр; " * 5)
-    assert len(clauses) == 5
-    df = spark.createDataFrame([(1, [line, "x"]), (2, None), (3, [])], "id int, l array<string>")
-    assert {r.id: None if r.e is None else len(r.e) for r in df.select("id", X.expanded_lines("l").alias("e")).collect()} == {1: 4, 2: None, 3: 0}
-
-
-def test_mentions(spark):
-    df = spark.createDataFrame([(1, "Кошти програми «SOLARA»; потім SOLARA без слова" + " " * 60 + "SOLARA"), (2, None), (3, "")], "id int, t string")
-    found = df.lateralJoin(X.Mentions(F.col("t").outer(), F.array(F.lit("Solara")), F.array(F.lit("кошти")), F.lit(40))).select("id", "at", "cue").collect()
-    assert sorted(tuple(r) for r in found) == [(1, 17, "кошти"), (1, 32, "кошти")]
+    """Cases worked out by hand."""
+    long = "Стратегічна ціль 1: " + "розвиток сільських клубів і бібліотек, " * 3 + "Ціль 2: ремонт дахів у школах громади"
+    clauses = "перша довга частина рядка без цифр; " * 4 + "коротко"
+    rows = [
+        (1, long, ["ціль 1: " + ("розвиток сільських клубів і бібліотек, " * 3).rstrip(" ,"), "Ціль 2: ремонт дахів у школах громади"]),
+        (2, clauses, ["перша довга частина рядка без цифр"] * 4),
+        (3, "коротка ціль; ще одна", ["коротка ціль; ще одна"]),
+        (4, "коротко\n• " + "а" * 200, ["а" * 200]),
+        (5, None, None),
+        (6, "", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "id int, t string")
+    assert {r.id: r.e for r in df.select("id", X.expanded_lines(F.col("t")).alias("e")).collect()} == {i: e for i, _, e in rows}
+
+
+def test_line_kind_by_hand(spark):
+    cases = [("1.2. " + "довгий рядок " * 8, "operational"), ("Ціль 1 " + "довгий " * 14, "strategic"), ("просто довгий рядок " * 5, "strategic"), ("просто рядок", "other"), ("3. Дороги", "strategic")]
+    found = spark.createDataFrame(cases, "line string, kind string").select("kind", X.line_kind(F.col("line")).alias("found")).collect()
+    assert all(r.kind == r.found for r in found)
+
+
+def test_mentions(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Кошти програми «SOLARA»; потім SOLARA без слова" + " " * 60 + "SOLARA"), (2, None), (3, ""), (4, "кошти програма 1000")], "id int, t string")
+    names = spark.createDataFrame([(f"Програма {i}", f"програма {i}") for i in range(1001)] + [("Solara", "solara")], "name string, low string")
+    monkeypatch.setattr(X, "NAMES_AT_ONCE", 300)  # four groups; the last name counts as well as the first
+    found = X.mentions(df.where("t IS NOT NULL").withColumn("t", F.lower("t")), "id", "t", names, ["кошти"], 40).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 17, "Solara", "кошти"), (1, 32, "Solara", "кошти"), *((4, 7, f"Програма {n}", "кошти") for n in (1, 10, 100, 1000))]
