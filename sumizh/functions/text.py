@@ -70,6 +70,12 @@ def host(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+def unarchived(url: Column) -> Column:
+    """The address that an archive's address holds; any other as it is."""
+    found = F.regexp_extract(url, r"^https?://web\.archive\.org/web/[0-9]+(?:[a-z]{2}_)?/(.*)$", 1)
+    return F.when(found != "", found).otherwise(url)
+
+
 def homepage(url: Column) -> Column:
     """Scheme and host of a full address; null otherwise."""
     found = F.regexp_extract(F.trim(url), r"^(https?://[^/?#]+)", 1)

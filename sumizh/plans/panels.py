@@ -194,10 +194,10 @@ _RINGS_SQL = ", ".join(f"('{n}', {', '.join(map(str, a))}, {', '.join(map(str, b
 @registry.add(
     "point_in_polygon",
     f"""WITH p AS (SELECT row_id, CAST(substr(katottg, 7, 4) AS DOUBLE) % 800 / 100 AS x, CAST(substr(katottg, 11, 4) AS DOUBLE) % 800 / 100 AS y FROM hromadas WHERE length(katottg) >= 14),
-    edge(area, ax, ay, bx, by) AS (SELECT * FROM (VALUES {_RINGS_SQL}) v),
-    met AS (SELECT row_id, area, sum(CASE WHEN (ay > y) <> (by > y) AND x < (bx - ax) * (y - ay) / (by - ay) + ax THEN 1 ELSE 0 END) % 2 = 1 AS inside,
-      min(sqrt(pow(x - ax - greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / (pow(bx - ax, 2) + pow(by - ay, 2)))) * (bx - ax), 2)
-        + pow(y - ay - greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / (pow(bx - ax, 2) + pow(by - ay, 2)))) * (by - ay), 2))) AS away FROM p, edge GROUP BY row_id, area)
+    edge(area, ax, ay, ex, ey) AS (SELECT * FROM (VALUES {_RINGS_SQL}) v),
+    met AS (SELECT row_id, area, sum(CASE WHEN (ay > y) <> (ey > y) AND x < (ex - ax) * (y - ay) / (ey - ay) + ax THEN 1 ELSE 0 END) % 2 = 1 AS inside,
+      min(sqrt(pow(x - ax - greatest(0, least(1, ((x - ax) * (ex - ax) + (y - ay) * (ey - ay)) / (pow(ex - ax, 2) + pow(ey - ay, 2)))) * (ex - ax), 2)
+        + pow(y - ay - greatest(0, least(1, ((x - ax) * (ex - ax) + (y - ay) * (ey - ay)) / (pow(ex - ax, 2) + pow(ey - ay, 2)))) * (ey - ay), 2))) AS away FROM p, edge GROUP BY row_id, area)
     SELECT row_id, min_by(area, (CASE WHEN inside THEN 0 ELSE round(away, 9) END, area)) AS area, CASE WHEN bool_or(inside) THEN 'inside' ELSE 'nearest' END AS how FROM met GROUP BY row_id""",
 )
 def point_in_polygon(spark: SparkSession, folder: str) -> DataFrame:
