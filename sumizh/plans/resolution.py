@@ -17,7 +17,7 @@ from sumizh.sources.tables import table
 
 #: Letters that a beginning must have to count as one.
 LEAST = 5
-_WORD_SQL = "split_part(regexp_replace(trim(translate(lower(name), '’ʼ`´', '''''''''')), '\\s+', ' ', 'g'), ' ', 1)"
+_WORD_SQL = "split_part(regexp_replace(trim(translate(lower(name), '’ʼ`´', ''''''''''), ' '), '\\s+', ' ', 'g'), ' ', 1)"
 _PORTALS_SQL = f"portals AS (SELECT portal_id, oblast, {_WORD_SQL} AS word FROM hromada_portals WHERE name IS NOT NULL)"
 _LISTED_SQL = f"{LATEST_SQL}, listed AS (SELECT katottg, oblast, name, {_WORD_SQL} AS word FROM latest)"
 
