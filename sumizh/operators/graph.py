@@ -55,3 +55,18 @@ def triangles(edges: DataFrame) -> DataFrame:
     wedges = directed.alias("p").join(directed.alias("q"), "s").where("p.t < q.t").select("s", F.col("p.t").alias("a"), F.col("q.t").alias("b"))
     closed = wedges.join(edges, ["a", "b"])
     return closed.select(F.array_sort(F.array("s", "a", "b")).alias("t")).select(*(F.col("t")[i].alias(n) for i, n in enumerate("xyz")))
+
+
+def cliques4(three: DataFrame, edges: DataFrame) -> DataFrame:
+    """(x, y, z, w), in order, of the triangles (x, y, z) and the edges (a, b) of one graph: two triangles over one edge, closed by another."""
+    left = three.select("x", "y", "z")
+    met = left.join(left.withColumnRenamed("z", "w"), ["x", "y"]).where("z < w")
+    return met.join(edges.select(F.col("a").alias("z"), F.col("b").alias("w")), ["z", "w"]).select("x", "y", "z", "w")
+
+
+def maximal(three: DataFrame, four: DataFrame) -> DataFrame:
+    """(members) of the cliques of four, and of those of three that are part of none."""
+    parts = F.array(F.array("x", "y", "z"), F.array("x", "y", "w"), F.array("x", "z", "w"), F.array("y", "z", "w"))
+    inside = four.select(F.explode(parts).alias("members")).distinct()
+    alone = three.select(F.array("x", "y", "z").alias("members")).join(inside, "members", "left_anti")
+    return four.select(F.array("x", "y", "z", "w").alias("members")).unionByName(alone)

@@ -275,16 +275,28 @@ def signals_primary(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("cand_id", F.size("signals").alias("n"), chips.alias("chips"), F.coalesce(by_track, F.get("signals", F.lit(0))["id"], F.lit("none")).alias("first_signal"))
 
 
-@registry.add("candidate_sidecar")
+def _slice_sql(number: int, name: str, condition: str, by: str) -> str:
+    earlier = "".join(f" AND (x, y) NOT IN (SELECT (x, y) FROM s{i})" for i in range(number))
+    return f"""s{number} AS (SELECT '{name}' AS slice, x, y, cand_id, CAST(row_number() OVER (ORDER BY {by} DESC, cand_id) AS INTEGER) AS place FROM (
+      SELECT * FROM rows WHERE {condition}{earlier} QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY {by} DESC, cand_id) = 1) QUALIFY place <= {SIDECAR})"""
+
+
+SLICES = (("thematic", "track = 'thematic'", "goals_cosine"), ("operational", "track = 'operational'", "geo_score"), ("any", "true", "score"))
+
+
+@registry.add(
+    "candidate_sidecar",
+    f"""WITH {_FLOOR_SQL}, rows AS (SELECT cand_id, goals_cosine, geo_score, score, least(a, b) AS x, greatest(a, b) AS y, {_TRACK_SQL} AS track FROM known_curation_candidates, floor_value),
+    {", ".join(_slice_sql(i, *s) for i, s in enumerate(SLICES))} {" UNION ALL ".join(f"SELECT slice, place, cand_id FROM s{i}" for i in range(len(SLICES)))}""",
+)
 def candidate_sidecar(spark: SparkSession, folder: str) -> DataFrame:
     """Slices one after the other, each with up to forty pairs that no earlier slice took.
 
     A slice takes its rows in order until it is full; what it leaves stays for the next.
     """
     rows = tracked(spark, folder).withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
-    slices = [("thematic", "track = 'thematic'", "goals_cosine"), ("operational", "track = 'operational'", "geo_score"), ("any", "true", "score")]
     taken: list[DataFrame] = []
-    for number, (name, condition, by) in enumerate(slices):
+    for number, (name, condition, by) in enumerate(SLICES):
         left = rows.where(condition)
         # first row of each pair, in the order of the slice
         best = first_of(left.withColumn("minus", -F.col("cand_id")), ["x", "y"], [(by, True), ("minus", True)], ["x", "y", "cand_id", by])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sumizh.functions import text as X
-from sumizh.operators.ranking import first_of
+from sumizh.operators.ranking import first_of, global_rank
 from sumizh.plans.entities import LATEST_SQL, latest_entities, undirected
 from sumizh.plans.registry import registry
 from sumizh.sources.tables import table
@@ -175,11 +175,26 @@ def donor_ranks(spark: SparkSession, folder: str) -> DataFrame:
     return joined.withColumn("place", place).where("place <= 15").select("program", "cand_id", "goals_cosine", "place")
 
 
-@registry.add("hash_baseline")
+#: Pairs of a baseline at most.
+BASELINE = 2000
+
+
+@registry.add(
+    "hash_baseline",
+    f"""WITH nodes AS (SELECT DISTINCT a_katottg AS k FROM known_curation_candidates WHERE a_katottg IS NOT NULL UNION SELECT b_katottg FROM known_curation_candidates WHERE b_katottg IS NOT NULL),
+    numbered AS (SELECT k, row_number() OVER (ORDER BY md5('a' || k)) AS ra, row_number() OVER (ORDER BY md5('b' || k)) AS rb FROM nodes),
+    pairs AS (SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b FROM numbered x JOIN numbered y ON x.ra = y.rb WHERE x.k <> y.k), e AS (SELECT count(DISTINCT [least(a_katottg, b_katottg), greatest(a_katottg, b_katottg)]) AS n
+      FROM known_curation_candidates WHERE a_katottg IS NOT NULL AND b_katottg IS NOT NULL AND a_katottg <> b_katottg)
+    SELECT a, b FROM (SELECT DISTINCT a, b FROM pairs) QUALIFY row_number() OVER (ORDER BY md5(a || b), a) <= least({BASELINE}, (SELECT n FROM e))""",
+)
 def hash_baseline(spark: SparkSession, folder: str) -> DataFrame:
-    """A baseline of pairs in an order that a hash gives: the same in every run."""
-    rows = table(spark, folder, "known_curation_candidates").select("cand_id", "goals_cosine", F.xxhash64("cand_id", F.lit(42)).alias("order"))
-    return rows.orderBy("order", "cand_id").limit(100).select("cand_id", "goals_cosine")
+    """As many pairs of nodes as the network has links, two thousand at most, drawn by two orders that hashes give: the same in every run."""
+    rows = table(spark, folder, "known_curation_candidates")
+    nodes = rows.select(F.explode(F.array("a_katottg", "b_katottg")).alias("k")).where("k IS NOT NULL").distinct()
+    by = lambda salt, name: global_rank(nodes, [F.md5(F.concat(F.lit(salt), "k"))], "rank").select(F.col("k").alias(name), "rank")
+    pairs = by("a", "x").join(by("b", "y"), "rank").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    most = min(BASELINE, undirected(rows, "a_katottg", "b_katottg").count())
+    return pairs.orderBy(F.md5(F.concat("a", "b")), "a").limit(most)
 
 
 @registry.add(

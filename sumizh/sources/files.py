@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import io
 import re
+import time
 import zipfile
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -31,9 +32,12 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def typed_csv(spark: SparkSession, path: str, types: Mapping[str, str], aliases: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
-    """Columns of a CSV with a header, cast to ``types``; a column may go by one of its ``aliases``."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+def typed_csv(spark: SparkSession, path: str, types: Mapping[str, str], aliases: Mapping[str, Iterable[str]] | None = None, line_breaks: bool = False) -> DataFrame:
+    """Columns of a CSV with a header, cast to ``types``; a column may go by one of its ``aliases``.
+
+    Large files are split between tasks; only ``line_breaks`` within fields keep a file whole.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"')
     out = []
     for name, kind in types.items():
         present = [c for c in (name, *((aliases or {}).get(name, ()))) if c in raw.columns]
@@ -173,3 +177,59 @@ def offset_pages(fetch: Callable[[int], list[dict]], size: int) -> Iterator[dict
 def newest_first(resources: DataFrame, preferred_host: str) -> DataFrame:
     """The one resource to read: of the preferred host if there is any, then the newest."""
     return resources.orderBy(F.desc(F.col("url").contains(preferred_host)), F.desc_nulls_last("modified"), "url").limit(1)
+
+
+def catalogue_documents(catalogue: DataFrame, regions: str, documents: str) -> DataFrame:
+    """One row for each document of a nested catalogue: an array of regions, each with an array of documents; a region's own fields stay beside."""
+    region = catalogue.select(*(c for c in catalogue.columns if c != regions), F.explode(regions).alias("_r"))
+    fields = [f.name for f in region.schema["_r"].dataType.fields if f.name != documents]
+    listed = region.select(*(c for c in region.columns if c != "_r"), *(F.col(f"_r.{f}").alias(f) for f in fields), F.posexplode(f"_r.{documents}").alias("at", "_d"))
+    return listed.select(*(c for c in listed.columns if c != "_d"), "_d.*")
+
+
+def package_resources(packages: DataFrame, resources: str) -> DataFrame:
+    """One row for each resource of each package, packages without any left out."""
+    return packages.select(*(c for c in packages.columns if c != resources), F.explode(resources).alias("_r")).select(*(c for c in packages.columns if c != resources), "_r.*")
+
+
+def classifier_levels(rows: DataFrame, code: str, category: str, name: str, levels: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """A relation (code, parent, name) for each level of a classifier, by category letters; the parent is the nearest code above that the row names."""
+    columns = [c for c in rows.columns if c.startswith("level")]
+    own = F.coalesce(*(F.col(c) for c in reversed(columns)))
+    above = F.element_at(F.filter(F.array(*(F.col(c) for c in columns)), lambda x: x.isNotNull() & (x != own)), -1)
+    keyed = rows.select(own.alias(code), F.when(F.size(F.array_compact(F.array(*columns))) > 1, above).alias("parent"), category, name)
+    return {level: keyed.where(F.col(category).isin(*letters)).select(code, "parent", name) for level, letters in levels.items()}
+
+
+def fetch_missing(ids: DataFrame, cached: DataFrame, key: str, fetch: Callable[[str], str | None], width: int = 8, retries: int = 3, pause: float = 0.5, limit: int | None = None) -> DataFrame:
+    """(key, body, error): what ``fetch`` gives for each id that ``cached`` doesn't have yet.
+
+    ``width`` partitions bound how many requests run at once; a failed one is tried again
+    after a pause that doubles, and its last error is kept in the row, not raised.
+    """
+    wanted = ids.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct().join(cached.select(F.col(key).cast("string").alias(key)), key, "left_anti")
+    if limit is not None:
+        wanted = wanted.orderBy(key).limit(limit)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for i in f[key]:
+                body, error = None, None
+                for turn in range(retries):
+                    try:
+                        body, error = fetch(i), None
+                        break
+                    except Exception as e:  # whatever a request may raise
+                        error = f"{type(e).__name__}: {e}"
+                        if turn + 1 < retries:
+                            time.sleep(pause * 2**turn)
+                out.append((i, body, error))
+            yield pd.DataFrame(out, columns=[key, "body", "error"], dtype="object")
+
+    return wanted.repartition(width, key).mapInPandas(run, f"{key} string, body string, error string")
+
+
+def page_state(html: Column, marker: str) -> Column:
+    """The JSON of the state that a page's script holds after a marker, ``undefined`` made null."""
+    return without_undefined(embedded_object(html, F.lit(marker)))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sumizh.session import cut
+
 
 def write_slim(df: DataFrame, path: str, core: Sequence[str], droppable: str) -> None:
     """The core columns as JSON lines; nulls are written, but a null ``droppable`` is left out."""
@@ -24,14 +25,33 @@ def write_full(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None:
 
 
 def write_manifest(df: DataFrame, path: str, counts: Mapping[str, Column], **more) -> dict:
-    """Counts of a table, in one pass, as a small JSON file on the driver."""
+    """Counts of a table, in one pass, as a small JSON file."""
     row = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(n) for n, c in counts.items())).first()
     manifest = {**more, **row.asDict()}
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(manifest, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+    write_text(df.sparkSession, path, json.dumps(manifest, ensure_ascii=False, indent=2) + "\n")
     return manifest
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, on whatever file system the path is of."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """All columns as JSON lines, nulls written."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_preview(df: DataFrame, path: str, order: Sequence[Column], most: int) -> None:
+    """The first ``most`` rows in ``order`` as JSON lines, for display."""
+    write_json(df.orderBy(*order).limit(most), path)
+
+
 def upsert(rows: DataFrame, updates: DataFrame, keys: Sequence[str], fields: Sequence[str], only_missing: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with the updates in, updates that met no row).
 
@@ -39,8 +59,9 @@ def upsert(rows: DataFrame, updates: DataFrame, keys: Sequence[str], fields: Seq
     updates for a row the first by key order wins, then that with the smallest values.
     A null in an update keeps the old value; ``only_missing`` keeps every old value.
     """
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    tagged = updates.withColumn("_update", F.monotonically_increasing_id())
+    # both are read by several branches, in which the numbers must be the same
+    numbered = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    tagged = cut(updates.withColumn("_update", F.monotonically_increasing_id()))
     left = tagged
     hits = None
     for order, key in enumerate(keys):

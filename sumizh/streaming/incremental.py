@@ -21,11 +21,12 @@ def append_unseen(stream: DataFrame, target: str, checkpoint: str, key: str) ->
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(target).select(key), key, "left_anti")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        at = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            ends = fresh.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+            if ends.low is not None:  # the ends reach the files' statistics, so that old files aren't read
+                known = spark.read.parquet(target).where(F.col(key).between(ends.low, ends.high)).select(key)
+                fresh = fresh.join(known, key, "left_anti")
         fresh.select(*batch.columns).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
