@@ -320,7 +320,7 @@ def seed_resolution(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.add(
     "name_order",
-    None,
+    f"WITH {LATEST_SQL} SELECT katottg, name, CAST(row_number() OVER (ORDER BY name COLLATE uk, katottg) AS BIGINT) AS place FROM latest",
 )
 def name_order(spark: SparkSession, folder: str) -> DataFrame:
     """All names in the order of the Ukrainian alphabet, with their places."""

@@ -96,3 +96,34 @@ def test_windows(spark, folder, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{folder}/events.parquet").count()
+
+
+def test_missing_ids_are_fetched_once_and_errors_kept(spark, tmp_path):
+    marks = str(tmp_path)
+
+    def fetch(i: str) -> str:
+        import os
+
+        tries = len([x for x in os.listdir(marks) if x.startswith(f"{i}-")])
+        open(os.path.join(marks, f"{i}-{tries}"), "w").close()
+        if i == "3" or (i == "2" and tries == 0):
+            raise ValueError("not now")
+        return f"body {i}"
+
+    ids = spark.createDataFrame([("1",), ("2",), ("2",), ("3",), ("4",), (None,)], "id string")
+    cached = spark.createDataFrame([("4",)], "id string")
+    found = {r.id: (r.body, r.error) for r in files.fetch_missing(ids, cached, "id", fetch, width=2, retries=2, pause=0.0).collect()}
+    assert found == {"1": ("body 1", None), "2": ("body 2", None), "3": (None, "ValueError: not now")}
+
+
+def test_catalogue_and_packages(spark):
+    rows = spark.createDataFrame([(1, [("R", [("a", 1), ("b", 2)]), ("S", [])])], "id int, regions array<struct<region:string,documents:array<struct<title:string,n:int>>>>")
+    assert sorted((r.region, r["at"], r.title, r.n) for r in files.catalogue_documents(rows, "regions", "documents").collect()) == [("R", 0, "a", 1), ("R", 1, "b", 2)]
+    packages = spark.createDataFrame([("p", [("u", "x"), ("v", "y")]), ("q", [])], "package string, resources array<struct<url:string,format:string>>")
+    assert sorted(tuple(r) for r in files.package_resources(packages, "resources").collect()) == [("p", "u", "x"), ("p", "v", "y")]
+
+
+def test_classifier_levels(spark):
+    rows = [("UA05", None, None, "O", "Обл"), ("UA05", "UA0501", None, "P", "Рай"), ("UA05", "UA0501", "UA050101", "H", "Гром")]
+    found = files.classifier_levels(spark.createDataFrame(rows, "level1 string, level2 string, level3 string, category string, name string"), "code", "category", "name", {"regions": "O", "districts": "P", "entities": "H"})
+    assert {k: [tuple(r) for r in d.collect()] for k, d in found.items()} == {"regions": [("UA05", None, "Обл")], "districts": [("UA0501", "UA05", "Рай")], "entities": [("UA050101", "UA0501", "Гром")]}

@@ -275,3 +275,66 @@ def test_mentions(spark, monkeypatch):
     monkeypatch.setattr(X, "NAMES_AT_ONCE", 300)  # four groups; the last name counts as well as the first
     found = X.mentions(df.where("t IS NOT NULL").withColumn("t", F.lower("t")), "id", "t", names, ["кошти"], 40).collect()
     assert sorted(tuple(r) for r in found) == [(1, 17, "Solara", "кошти"), (1, 32, "Solara", "кошти"), *((4, 7, f"Програма {n}", "кошти") for n in (1, 10, 100, 1000))]
+
+
+def test_cliques_of_four_take_their_triangles(spark):
+    """A clique of four, a triangle that shares an edge with it, one that shares nothing, and five nodes that are all joined."""
+    from itertools import combinations
+
+    from sumizh.operators.graph import cliques4, maximal, triangles
+
+    groups = ["abcd", "cde", "xyz", "pqrst"]
+    pairs = sorted({p for g in groups for p in combinations(g, 2)})
+    edges = spark.createDataFrame(pairs, "a string, b string")
+    three = triangles(edges)
+    found = {"".join(r.members) for r in maximal(three, cliques4(three, edges)).collect()}
+    assert found == {"abcd", "cde", "xyz", *("".join(c) for c in combinations("pqrst", 4))}
+
+
+def test_points_in_gaps_go_to_the_nearest(spark):
+    from sumizh.plans.panels import nearest_area
+
+    square = lambda x, y: [dict(x=a, y=b) for a, b in ((x, y), (x + 2.0, y), (x + 2.0, y + 2.0), (x, y + 2.0))]
+    areas = spark.createDataFrame([("one", square(0.0, 0.0)), ("two", square(5.0, 0.0))], "area string, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.5, 0.5), (3, 3.0, 1.0), (4, 4.5, 1.0), (5, -7.0, 9.0), (6, 3.5, 1.0)], "id int, x double, y double")
+    found = {r.id: (r.area, r.how) for r in nearest_area(points, areas, "id").collect()}
+    assert found == {1: ("one", "inside"), 2: ("two", "inside"), 3: ("one", "nearest"), 4: ("two", "nearest"), 5: ("one", "nearest"), 6: ("one", "nearest")}
+
+
+def test_closest_duplicate_is_the_best_of_all():
+    import difflib
+
+    from sumizh.plans.lines import closest_duplicate
+
+    a = ["Розвиток мережі сільських доріг громади", "коротко", "Ремонт дахів у школах і ліцеях громади"]
+    b = ["Розвиток мережі сільських доріг громад", "Ремонт дахів у школах громади", "Зовсім інший рядок без спільного"]
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio()
+    best = max(((x, y, ratio(x, y)) for x in a for y in b if min(len(x), len(y)) >= 20), key=lambda t: t[2])
+    assert closest_duplicate(a, b)[:2] == best[:2]
+    assert closest_duplicate(a, ["щось геть інше про бюджет участі"]) is None and closest_duplicate([], b) is None
+
+
+def test_word_vectors_meet_in_blocks(spark, monkeypatch):
+    """A word that all rows have, several blocks on either side, and ties; against all products."""
+    from sumizh.plans import documents as D
+
+    rnd = np.random.default_rng(6)
+    rows = [(i, w, round(float(rnd.uniform(0.1, 1.0)), 2)) for i in range(1, 301) for w in ["all", *rnd.choice(["u", "v", "w", "x", "y", "z"], size=3, replace=False)]]
+    vectors = spark.createDataFrame(rows, "id bigint, w string, x double")
+    monkeypatch.setattr(D, "ENTRIES", 150)
+    found = {(r["query"], r.place): (r.id, r.similarity) for r in D.sparse_search(vectors.where("id % 100 = 0"), vectors, 5).collect()}
+    of = {}
+    for i, w, x in rows:
+        of.setdefault(i, {})[w] = x
+    for q in (100, 200, 300):
+        like = sorted((-round(sum(v * of[i].get(w, 0.0) for w, v in of[q].items()), 6), i) for i in of if i != q)[:5]
+        assert [(i, -v) for v, i in like] == [pytest.approx(found[q, k + 1]) for k in range(5)]
+
+
+def test_more_than_six_kinds_of_separators(spark):
+    """Programmes known from many fields, in one field with seven kinds of separators, of which two are within values."""
+    names = ["Рівний Край", "Вода + Світло", "Дім / Сад", "Solara", "Обрій", "Крок", "Гай"]
+    rows = [(i, f"{a}; {b}") for i, (a, b) in enumerate((a, b) for a in names for b in names if a != b)] * 3
+    rows = [(i, t) for i, (_, t) in enumerate(rows)] + [(1000, "Рівний Край, Вода + Світло; Дім / Сад | Solara\tОбрій\nКрок та Гай")]
+    found = split_values(spark.createDataFrame(rows, "id long, t string"), "id", "t").where("id = 1000").orderBy("pos").collect()
+    assert [r.val for r in found] == names
