@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -48,6 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="sumizh-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return folder
 
@@ -67,7 +70,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     here = Path(__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="sumizh-code-")) / "sumizh.zip"
+    built = tempfile.mkdtemp(prefix="sumizh-code-")  # read by the driver only
+    atexit.register(shutil.rmtree, built, ignore_errors=True)
+    archive = Path(built) / "sumizh.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for file in sorted(here.rglob("*.py")):
             z.write(file, file.relative_to(here.parent))
