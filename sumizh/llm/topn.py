@@ -6,9 +6,10 @@
    of its own run can't be among the first N of all - and the rest is stored as one
    compressed block per bucket.  So a hot group contributes N rows per run to the
    shuffle, however large it is, and is never gathered.
-2. Blocks are shuffled by bucket, a hash of the group.  A task merges the blocks of
-   its bucket with a loser tree, gives out N rows of the leading group, then has
-   every block *seek* to its next group instead of reading through the rest.
+2. Blocks are shuffled by bucket, a hash of the group.  A task takes one bucket after
+   the other and merges its blocks with a loser tree.  Of each block one page is held at
+   a time.  Once N rows of the leading group are out, every block *seeks* its next group:
+   by halving within the page, and past whole pages that end in the group.
 
 Rows are compared by one binary key whose byte order equals the order asked for,
 so a comparison in the tree is one comparison of ``bytes``.
@@ -22,7 +23,7 @@ whatever their names, are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sumizh.session import width
 
-#: Rows of a stored block at most; a longer run of a bucket is stored as several blocks.
-BLOCK_ROWS = 1 << 16
+#: Rows of a stored block at most; a longer run of a bucket is stored as several blocks.  Rows of a page.
+BLOCK_ROWS, PAGE_ROWS = 1 << 16, 1 << 12
+#: Buckets for each task of the merge, which holds one at a time.
+BUCKETS = 4
 
 
 def _string_key(column: pa.Array) -> pa.Array:
@@ -103,7 +106,7 @@ def _ranks(groups: pa.Array, carried: tuple[object, int] | None) -> tuple[np.nda
 def _pack(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_table(table.combine_chunks())
+        writer.write_table(table.combine_chunks(), max_chunksize=PAGE_ROWS)
     return sink.getvalue().to_pybytes()
 
 
@@ -145,19 +148,66 @@ def _form_runs(order: Sequence[tuple[str, bool]], payload: Sequence[str], n: int
     return run
 
 
-class LoserTree:
-    """Tournament over sorted key lists; each inner node keeps the loser of its match.
+#: Greater than any key, so that a used-up run loses every match.
+END = b"\xff" * 9
+
+
+class Run:
+    """A sorted run, read page by page: (keys, lengths of their parts that are the group, rows)."""
+
+    def __init__(self, pages: Iterable[tuple[list[bytes], list[int], object]]) -> None:
+        self.pages = iter(pages)
+        self.picked: list[int] = []
+        self.places: list[int] = []
+        #: Rows kept of pages that were turned: (rows, positions, places).
+        self.kept: list[tuple[object, list[int], list[int]]] = []
+        self.rows: object = None
+        self._turn()
+
+    def _turn(self) -> None:
+        if self.picked:
+            self.kept.append((self.rows, self.picked, self.places))
+            self.picked, self.places = [], []
+        self.at = 0
+        self.keys, self.lengths, self.rows = next((p for p in self.pages if p[0]), ([], [], None))
+
+    @property
+    def head(self) -> bytes:
+        return self.keys[self.at] if self.keys else END
+
+    @property
+    def group(self) -> bytes:
+        return self.keys[self.at][: self.lengths[self.at]]
+
+    def keep(self, place: int) -> None:
+        """Take the row at the head, and go on to the next."""
+        self.picked.append(self.at)
+        self.places.append(place)
+        self.at += 1
+        if self.at == len(self.keys):
+            self._turn()
+
+    def seek(self, group: bytes) -> None:
+        """Go on to the first row that isn't of the group."""
+        while self.keys and self.keys[-1].startswith(group):
+            self._turn()
+        low, high = self.at, len(self.keys)
+        while low < high:
+            middle = (low + high) // 2
+            if self.keys[middle].startswith(group):
+                low = middle + 1
+            else:
+                high = middle
+        self.at = low
 
-    ``END`` is greater than any key, so that a used-up list loses every match.
-    """
 
-    END = b"\xff" * 9
+class LoserTree:
+    """Tournament over the heads of sorted runs; each inner node keeps the loser of its match."""
 
-    def __init__(self, runs: list[list[bytes]]) -> None:
+    def __init__(self, runs: list[Run]) -> None:
         self.k = len(runs)
         self.runs = runs
-        self.at = [0] * self.k
-        self.heads = [run[0] if run else self.END for run in runs]
+        self.heads = [run.head for run in runs]
         self.losers = [0] * max(1, self.k)
         self.winner = self._play(1) if self.k > 1 else 0
 
@@ -170,14 +220,11 @@ class LoserTree:
         self.losers[node] = right
         return left
 
-    def advance(self, position: int) -> None:
-        """Move the winning list to ``position`` and play its matches again up to the root."""
+    def moved(self) -> None:
+        """The winning run went on: play its matches again up to the root."""
         winner = self.winner
-        self.at[winner] = position
-        run = self.runs[winner]
         heads, losers = self.heads, self.losers
-        head = run[position] if position < len(run) else self.END
-        heads[winner] = head
+        head = heads[winner] = self.runs[winner].head
         node = (winner + self.k) >> 1
         while node:
             other = losers[node]
@@ -189,55 +236,53 @@ class LoserTree:
         self.winner = winner
 
 
-def merge_top_n(runs: list[list[bytes]], lengths: list[list[int]], n: int) -> Iterator[tuple[int, int, int]]:
-    """(run, position, place) of the first ``n`` rows of each group over sorted runs.
-
-    ``lengths`` has for each key the length of its part that is the group.
-    """
-    following: list[list[int]] = []
-    for run, length in zip(runs, lengths):
-        starts = [len(run)] * len(run)
-        for i in range(len(run) - 2, -1, -1):
-            starts[i] = starts[i + 1] if run[i + 1].startswith(run[i][: length[i]]) else i + 1
-        following.append(starts)
+def merge_top_n(runs: list[Run], n: int) -> None:
+    """Have the runs keep the first ``n`` rows of each group over all of them."""
     tree = LoserTree(runs)
-    end = LoserTree.END
-    while (head := tree.heads[tree.winner]) is not end:
-        group = head[: lengths[tree.winner][tree.at[tree.winner]]]
+    while runs and (head := tree.heads[tree.winner]) is not END:
+        group = runs[tree.winner].group
         place = 0
         while head.startswith(group):
-            run, position = tree.winner, tree.at[tree.winner]
+            run = runs[tree.winner]
             if place < n:
                 place += 1
-                yield run, position, place
-                tree.advance(position + 1)
+                run.keep(place)
             else:
-                tree.advance(following[run][position])
+                run.seek(group)
+            tree.moved()
             head = tree.heads[tree.winner]
 
 
+def _pages(block: bytes) -> Iterator[tuple[list[bytes], list[int], pa.RecordBatch]]:
+    for page in pa.ipc.open_stream(block):
+        yield page.column("k").to_pylist(), page.column("g").to_pylist(), page
+
+
 def _merge(payload: Sequence[str], n: int, schema: pa.Schema):
-    """Merge the blocks of each bucket of a partition."""
+    """Merge the blocks of each bucket of a partition, in which buckets come one after the other."""
+
+    def merged(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        runs = [Run(_pages(b)) for b in blocks]
+        merge_top_n(runs, n)
+        parts = []
+        for run in runs:
+            for rows, at, places in run.kept:
+                parts.append(pa.Table.from_batches([rows.select(list(payload))]).take(pa.array(at, pa.int64())).append_column("place", pa.array(places, pa.int32())))
+        if parts:
+            yield from pa.concat_tables(parts).cast(schema).combine_chunks().to_batches(max_chunksize=BLOCK_ROWS)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, list[bytes]] = {}
+        blocks: list[bytes] = []
+        bucket = None
         for batch in batches:
-            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
-                blocks.setdefault(bucket, []).append(block)
-        for bucket in sorted(blocks):
-            tables = [pa.ipc.open_stream(x).read_all() for x in blocks.pop(bucket)]
-            runs = [t.column("k").to_pylist() for t in tables]
-            lengths = [t.column("g").to_pylist() for t in tables]
-            starts = np.cumsum([0, *map(len, runs)])
-            values = pa.concat_tables([t.select(list(payload)) for t in tables])
-            picked: list[int] = []
-            places: list[int] = []
-            for run, position, place in merge_top_n(runs, lengths, n):
-                picked.append(int(starts[run]) + position)
-                places.append(place)
-            del runs, lengths, tables
-            out = values.take(pa.array(picked, pa.int64())).append_column("place", pa.array(places, pa.int32()))
-            yield from out.cast(schema).to_batches(max_chunksize=BLOCK_ROWS)
+            for number, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
+                if number != bucket and blocks:
+                    yield from merged(blocks)
+                    blocks = []
+                bucket = number
+                blocks.append(block.as_buffer())
+        if blocks:
+            yield from merged(blocks)
 
     return buckets
 
@@ -252,7 +297,8 @@ def top_n(df: DataFrame, group: str, order: Sequence[tuple[str, bool]], payload:
     kept = df.where(F.col(group).isNotNull() & lead.isNotNull())
     if isinstance(df.schema[order[0][0]].dataType, (T.DoubleType, T.FloatType)):
         kept = kept.where(~F.isnan(lead))
-    buckets = width(df.sparkSession)
+    tasks = width(df.sparkSession)
+    buckets = BUCKETS * tasks
     # own names, so that no column of the table can clash with another
     rows = kept.select(
         F.pmod(F.xxhash64(F.col(group)), F.lit(buckets)).cast("int").alias("bucket"),
@@ -266,5 +312,5 @@ def top_n(df: DataFrame, group: str, order: Sequence[tuple[str, bool]], payload:
     runs = rows.sortWithinPartitions("bucket", "grp", *sort).mapInArrow(_form_runs(named, values, n), "bucket int, block binary")
     types = [df.schema[c].dataType for c in payload]
     inner = T.StructType([*(T.StructField(v, t) for v, t in zip(values, types)), T.StructField("place", T.IntegerType())])
-    merged = runs.repartition(buckets, "bucket").mapInArrow(_merge(values, n, to_arrow_schema(inner)), inner)
+    merged = runs.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(values, n, to_arrow_schema(inner)), inner)
     return merged.select(*(F.col(v).alias(c) for v, c in zip(values, payload)), "place")

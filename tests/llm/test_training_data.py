@@ -163,8 +163,21 @@ def test_top_n_hot_group_and_edges(spark):
 
 
 def test_merge_seeks():
-    runs = [[b"a1", b"a2", b"b1"], [b"a0", b"a9"], [], [b"c5"]]
-    assert [(r, p, n) for r, p, n in topn.merge_top_n(runs, [[1] * len(r) for r in runs], 2)] == [(1, 0, 1), (0, 0, 2), (0, 2, 1), (3, 0, 1)]
+    """Of every group the first two over all runs; pages that end in a group are turned, and used-up runs lose."""
+    runs = [[[b"a1", b"a2"], [b"a3", b"a4"], [b"a5", b"b1"]], [[b"a0", b"a9"]], [], [[b"c5"]], [[b"b0", b"b2"], [b"b3"]]]
+    made = [topn.Run((page, [1] * len(page), page) for page in run) for run in runs]
+    topn.merge_top_n(made, 2)
+    found = sorted((rows[i], place) for run in made for rows, at, places in run.kept for i, place in zip(at, places))
+    assert found == [(b"a0", 1), (b"a1", 2), (b"b0", 1), (b"b1", 2), (b"c5", 1)]
+    assert all(not run.picked for run in made)
+
+
+def test_top_n_in_many_pages(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(rnd.choice("abcdefgh" + "a" * 8), rnd.random(), None, i) for i in range(5000)]
+    monkeypatch.setattr(topn, "PAGE_ROWS", 3)
+    df = spark.createDataFrame(rows, "g string, score double, b string, i long").repartition(9)
+    assert {tuple(r) for r in topn.top_n(df, "g", [("score", True), ("b", False), ("i", False)], ["i"], 40).collect()} == brute_top(rows, 40)
 
 
 # Problem 5
