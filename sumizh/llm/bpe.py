@@ -26,12 +26,14 @@ Defined results: an empty and a null text give an empty list.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Where the public vocabularies lie; a parameter of every function that needs one.
@@ -312,15 +314,26 @@ class StreamDecoder:
 _transducers: dict[str, Transducer] = {}
 
 
+def given(spark: SparkSession, path: str) -> str:
+    """Give a vocabulary file to the workers, which needn't have it; returns its path."""
+    spark.sparkContext.addFile(path)  # the same file again is passed over
+    return path
+
+
 def transducer(path: str = TOKENIZER) -> Transducer:
-    """One transducer per worker process and vocabulary."""
+    """One transducer per worker process and vocabulary, from the file given to the worker if there is one."""
     if path not in _transducers:
-        _transducers[path] = Transducer(Merges(path))
+        try:
+            sent = SparkFiles.get(os.path.basename(path))
+        except Exception:  # outside of a worker there may be no folder of files
+            sent = ""
+        _transducers[path] = Transducer(Merges(sent if os.path.isfile(sent) else path))
     return _transducers[path]
 
 
 def encode_documents(df: DataFrame, id_column: str, text_column: str, path: str = TOKENIZER) -> DataFrame:
     """(id, ids) for every row; no shuffle, one pass over the scan."""
+    given(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = transducer(path)
@@ -337,6 +350,7 @@ def encode_documents(df: DataFrame, id_column: str, text_column: str, path: str
 
 def decode_documents(df: DataFrame, id_column: str, ids_column: str, path: str = TOKENIZER) -> DataFrame:
     """(id, text) for every row of ids; null ids give a null text."""
+    given(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = StreamDecoder(transducer(path).merges)
@@ -350,6 +364,7 @@ def decode_documents(df: DataFrame, id_column: str, ids_column: str, path: str =
 
 def count_tokens(df: DataFrame, text_column: str, path: str = TOKENIZER) -> DataFrame:
     """``df`` with a further column ``tokens``: the length of the text's encoding."""
+    given(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = transducer(path)
