@@ -397,6 +397,37 @@ def test_solve_finds_a_substitution(spark, folder):
     assert right >= 0.9 * sum(met) and rise > garbled.RISE
 
 
+def test_repeated_garbles_are_no_language(spark):
+    """Bigrams of a garbled word are taken from the language as often as it stands in the corpus."""
+    size = garbled.alphabet().size
+    counts = np.zeros(size * size)
+    at, n = garbled._pairs("громада рада дорога вода".split())
+    counts[at] = 900 * n
+    bad = "громада".encode("cp1251").decode("koi8_u")
+    model = spark.sparkContext.broadcast((garbled.Language(counts.reshape(size, size)), [("x", None, garbled._given("cp1251>koi8_u"))]))
+    words = spark.createDataFrame([("s", "", bad, 3000), ("s", "", bad, 2000), ("t", "", bad, 1)], "source string, place string, word string, n long")
+    taken = {int(r.b): r.n for r in garbled._assigned(words, model).where("cipher = 'language'").collect()}
+    at, n = garbled._pairs([bad])
+    assert taken == dict(zip(at.tolist(), (5001 * n).tolist()))
+
+
+def test_a_cipher_of_few_letters_is_learned(spark, folder):
+    """A cipher that fewer than three hundred letters were met of is learned; as many characters without order are none."""
+    texts = _clean_texts(spark, folder)
+    rnd = random.Random(5)
+    plain = "абвгдежзийклмнопрстуфхцчшщьюяіїє"
+    image = rnd.sample("àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœšžƒ", len(plain))
+    few = rnd.sample(sorted({w for t in texts for w in t.split() if len(w) > 5 and set(w) <= set(plain)}), 28)
+    noise = "".join(rnd.choice("ƀƁƂƃƄƅƆƇƈƉ") + " " * (i % 8 == 7) for i in range(280))
+    rows = [*enumerate(texts * 5), (9000, " ".join(few).translate(str.maketrans(dict(zip(plain, image))))), (9001, noise)]
+    assert 200 < len("".join(few)) < 300
+    _, ciphers, _ = garbled.learn(spark.createDataFrame([("s", t) for _, t in rows], "source string, text string"))
+    assert len(ciphers) == 1
+    of = dict(zip(plain, image))
+    given = [ciphers[0][2][of[c]] == c for w in few for c in w if of[c] in ciphers[0][2]]
+    assert sum(given) >= 0.75 * len(given) and len(given) >= 0.6 * len("".join(few)), (sum(given), len(given))
+
+
 def test_garbled_without_text(spark):
     df = spark.createDataFrame([(1, "s", None)], "doc_id long, source string, text string")
     assert garbled.find_garbled(df).count() == 0
